@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from .result_schemas import SCHEMAS
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,12 +23,25 @@ def query(name: str, sql: str | None = None, digits: int | None = 6):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = typed(sql, SCHEMAS.get(name, ""), digits)
         return fn
 
     return add
 
 
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "string": "VARCHAR", "double": "DOUBLE"}
+
+
+def typed(sql: str, schema: str, digits: int | None) -> str:
+    """The check with the column types and the rounding of the Spark result."""
+    out = []
+    for field in filter(None, schema.split(", ")):
+        name, kind = field.split(" ")
+        value = f'CAST("{name}" AS {SQL_TYPES[kind]})'
+        out.append(f'round({value}, {digits}) + 0.0 AS "{name}"' if kind == "double" and digits is not None else f'{value} AS "{name}"')
+    return f"SELECT {', '.join(out)} FROM ({sql})" if out else sql
+
+
 def rounded(df: DataFrame, digits: int) -> DataFrame:
     real = (DoubleType, FloatType)
     # adding 0.0 turns -0.0 into 0.0

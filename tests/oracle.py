@@ -37,9 +37,9 @@ def cell(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, float):
-        return round(v, 6) + 0.0
+        return v + 0.0
     if hasattr(v, "__float__") and not isinstance(v, int):
-        return round(float(v), 6) + 0.0
+        return float(v) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(cell(x) for x in v)
     return v
@@ -78,7 +78,26 @@ def compare(spark, con, name, fn, sql, folder, digits=6):
     return f"ok rows={len(got[1])}" + ("" if exact else " (within tolerance only)")
 
 
+def write_schemas(spark, folder):
+    """Analyses every query (no job is needed for most) and stores its column types."""
+    from fraudloom.plans import catalogue
+
+    lines = []
+    for name, fn in catalogue.QUERIES.items():
+        if name in catalogue.ORACLES:
+            df = fn(spark, folder)
+            lines.append(f'    "{name}": "{", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)}",')
+    head = '"""Result schema of every query (written by `python tests/oracle.py --schemas`)."""\nSCHEMAS: dict[str, str] = {\n'
+    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "fraudloom/plans/result_schemas.py")
+    with open(path, "w") as out:
+        out.write(head + "\n".join(lines) + "\n}\n")
+
+
 def main():
+    if "--schemas" in sys.argv:
+        spark = session()
+        spark.sparkContext.setLogLevel("ERROR")
+        return write_schemas(spark, "/root/testdata/sf0.001")
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
     from fraudloom.plans import catalogue
