@@ -212,7 +212,7 @@ FUSED = f"""fused AS (SELECT submission_id, CASE WHEN den > 0 THEN least(1, 0.65
   (SELECT submission_id, sum(w * greatest(confidence, 0.05) * score) FILTER (WHERE status = 'ok') AS num, sum(w * greatest(confidence, 0.05)) FILTER (WHERE status = 'ok') AS den, coalesce(max(score) FILTER (WHERE status = 'ok' AND confidence >= 0.5), 0) AS loud FROM outputs JOIN {W} USING (detector) GROUP BY 1))"""
 
 
-@query("sc22_heuristic_fuse", with_ctes(OUTPUTS, FUSED) + "SELECT * FROM fused")
+@query("sc22_heuristic_fuse", with_ctes(OUTPUTS, FUSED) + "SELECT * FROM fused", digits=8)
 def fuse(t):
     return R.heuristic_fuse(B.detector_outputs(t))
 
@@ -263,7 +263,7 @@ def decisions(t):
     return R.score_submissions(subs, B.detector_outputs(t), signal(t, subs), B.policies(t))
 
 
-@query("sc23_final_score", with_ctes(*DECIDE) + "SELECT submission_id, final_score, verdict, abstained, link_score, link_exact FROM dec")
+@query("sc23_final_score", with_ctes(*DECIDE) + "SELECT submission_id, final_score, verdict, abstained, link_score, link_exact FROM dec", digits=8)
 def final_scores(t):
     return decisions(t).select("submission_id", "final_score", "verdict", "abstained", "link_score", "link_exact")
 

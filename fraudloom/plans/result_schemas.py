@@ -98,4 +98,69 @@ SCHEMAS: dict[str, str] = {
     "sp3_group_folds": "fold int, rows bigint, groups bigint",
     "wn10_cmu_sessionise": "subject bigint, session bigint, rows bigint",
     "wn11_aalto_sessionise": "subject bigint, session int, sections bigint, keys bigint",
+    "jn4_face_links": "submission_id bigint, rank int, other_id bigint, similarity double, other_name string, other_merchant string, name_comparable boolean, name_differs boolean",
+    "jn4_face_links_shipped_threshold": "submission_id bigint, rank int, other_id bigint, similarity double, other_name string, other_merchant string, name_comparable boolean, name_differs boolean",
+    "jn4_face_links_prior": "submission_id bigint, rank int, other_id bigint, similarity double, name_differs boolean",
+    "jn5_asset_links_exact": "submission_id bigint, other_id bigint, kind string, n_others bigint, match string, hamming int",
+    "jn6_asset_links_near": "submission_id bigint, other_id bigint, kind string, match string, hamming int",
+    "jn6_near_vector_fingerprints": "a bigint, b bigint, hamming int",
+    "sc15_hamming64": "hamming int, n bigint",
+    "sc14_cosine": "vec_id bigint, cosine double",
+    "sc16_name_norm": "names bigint",
+    "jn7_best_asset_links": "submission_id bigint, other_id bigint, rank int, match string, hamming int, kind string",
+    "jn8_graph_face_edges": "source bigint, target bigint, kind string, weight double, name_differs boolean",
+    "jn9_graph_asset_edges": "source bigint, target bigint, kind string, weight double, name_differs boolean, members bigint",
+    "jn9_asset_pair_counts": "kind string, pairs bigint",
+    "jn15_ring_siblings": "submission_id bigint, shared_selfie_with bigint, n_other_names bigint, other_names string",
+    "so2_strongest_edges": "source bigint, target bigint, kind string, weight double, name_differs boolean",
+    "gr1_connected_components": "id bigint, root bigint, ring bigint",
+    "gr2_threat_graph_rings": "ring bigint, size bigint, distinct_names bigint, max_score double, merchants string, has_exact_asset_reuse boolean",
+    "ag8_ring_summary": "ring bigint, size bigint, distinct_names bigint, max_score double, merchants string, has_exact_asset_reuse boolean",
+    "jn17_face_match_pair": "submission_id bigint, similarity double, direction string, score double, confidence double",
+    "jn18_live_match": "event_id bigint, match boolean, margin double, confidence string",
+    "sc22_heuristic_fuse": "submission_id bigint, fused double",
+    "sc19_linkage_signal": "submission_id bigint, n_face bigint, n_conflict bigint, n_exact bigint, n_near bigint, link_score double, link_exact boolean",
+    "sc21_behavioral_channel": "submission_id bigint, channel double",
+    "sc23_final_score": "submission_id bigint, final_score double, verdict string, abstained boolean, link_score double, link_exact boolean",
+    "sc25_classify_attack": "attack_pattern string, verdict string, n bigint",
+    "flagship_ring_decisions": "submission_id bigint, merchant_id string, ring bigint, final_score double, verdict string, abstained boolean, attack_pattern string, link_score double",
+    "cal5_impostor_summary": "pairs bigint, mean double, highest double",
+    "cal6_linkage_threshold": "pairs bigint, required_far double, resolved boolean, threshold double",
+    "cal6_linkage_grades": "name string, threshold double, pairs bigint, accepted bigint, far double, tar double, per_applicant_20 double, per_applicant_100 double, per_applicant_500 double, per_applicant_1000 double, per_applicant_5000 double, per_applicant_50000 double",
+    "wn1_flights": "session bigint, pos bigint, down double, flight double",
+    "wn2_pointer_segments": "session bigint, t double, pos bigint, dx double, dy double, length double, dt double",
+    "wn3_field_revisits": "session bigint, fields_touched bigint, field_revisits bigint, field_order_monotonic double, field_dwell_cv double",
+    "fe1_keystroke_features": "session bigint, n_keys bigint, backspaces bigint, printable bigint, span_s double, dwell_mean double, dwell_std double, dwell_cv double, dwell_median double, dwell_p10 double, dwell_p90 double, dwell_min double, dwell_max double, dwell_iqr double, dwell_unique_ratio double, flight_mean double, flight_std double, flight_cv double, flight_median double, flight_p10 double, flight_p90 double, flight_min double, flight_max double, flight_iqr double, flight_unique_ratio double, rollover_rate double, pause_rate double, dwell_flight_corr double, typing_speed_cps double, backspace_rate double, dwell_samples bigint, dwell_mean_ms double, serve_dwell_cv double, flight_samples bigint, flight_mean_ms double, serve_flight_cv double, flight_min_ms double",
+    "fe2_session_basics": "session bigint, keystroke_count bigint, dwell_samples bigint, dwell_mean_ms double, dwell_cv double, flight_samples bigint, flight_mean_ms double, flight_cv double, flight_min_ms double, backspace_rate double, typing_speed_cps double, rollover_rate double",
+    "fe3_pointer_features": "session bigint, mouse_points bigint, mouse_straightness double, mouse_path_entropy double, mouse_moving_segments bigint, mouse_dt_samples bigint, mouse_dt_cv double, mouse_jerk_cv double",
+    "fe4_form_features": "session bigint, total_time_s double, near_round_sleep_s double, paste_count bigint, paste_into_sensitive bigint, fields_touched bigint, field_revisits bigint, field_order_monotonic double, field_dwell_cv double",
+    "sc17_locale_incoherent": "session bigint, locale_incoherent int",
+    "sc18_automation_flags": "session bigint, flags string",
+    "fe5_behavioral_rules": "session bigint, rules string, score double, confidence double",
+    "prj12_session_readback": "session bigint, rules string, score double",
+    "fe6_reference_bands": "session bigint, feature string, low double, high double, measured double",
+    "sc1_find_pan": "doc_id bigint, pan string",
+    "sc3_find_aadhaar": "doc_id bigint, aadhaar string",
+    "sc4_find_dob": "doc_id bigint, dob string",
+    "sc2_normalise_pan": "c_custkey bigint, fixed string",
+    "sc5_validate_pan": "c_custkey bigint, format_ok boolean, holder_type_ok boolean, surname_initial_ok boolean, n_issues int",
+    "sc6_verhoeff": "c_custkey bigint, full_number string, full_ok boolean, other_ok boolean",
+    "sc7_id_field_score": "c_custkey bigint, score double",
+    "sc8_id_forensics_score": "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, score double, confidence double",
+    "sc9_selfie_score": "event_id bigint, score double, confidence double",
+    "sc10_spectral_heuristic": "event_id bigint, p double",
+    "sc30_generator_guess": "event_id bigint, guess string",
+    "sc12_metadata_rules": "id bigint, rules string, weight double",
+    "sc13_noisy_or": "id bigint, score double, confidence double",
+    "wn4_reason_rank": "submission_id bigint, rank int, weight double, reason string",
+    "wn5_identity_drift": "clip int, identity_drift double, min_similarity double",
+    "wn6_pose_jitter": "clip bigint, pose_jitter double, roll_range double",
+    "wn7_flow_spike": "clip bigint, flow_spike double",
+    "wn8_blink_count": "clip bigint, blinks bigint",
+    "sc11_liveness_score": "clip bigint, score double, confidence double",
+    "prj10_dig_json": "user_id bigint, total bigint",
+    "prj6_json_safe": "event_type string, n bigint, finite bigint",
+    "ud1_registered_detectors": "detector string, status string, n bigint, score double",
+    "ud2_registered_rule": "lucky boolean, n bigint, hits bigint",
+    "ud4_sql_functions": "c_custkey bigint, shape_ok boolean, checksum_ok boolean, verdict string",
 }

@@ -75,7 +75,10 @@ def compare(spark, con, name, fn, sql, folder, digits=6):
     for g, w in zip(got[1], want[1]):
         if not all(same(x, y) for x, y in zip(g, w)):
             return f"VALUES {got[0]}\n   spark {g}\n   duck  {w}"
-    return f"ok rows={len(got[1])}" + ("" if exact else " (within tolerance only)")
+    if not exact:
+        g, w = next((g, w) for g, w in zip(got[1], want[1]) if g != w)
+        return f"ok rows={len(got[1])} INEXACT\n   spark {g}\n   duck  {w}"
+    return f"ok rows={len(got[1])}"
 
 
 def write_schemas(spark, folder):
