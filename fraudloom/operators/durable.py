@@ -1,25 +1,42 @@
-"""Lineage cuts that survive executor loss."""
+"""Lineage cuts that survive executor loss: tables written to the shared checkpoint folder.
+
+A written table is computed once (a plain checkpoint() computes its input twice), and its
+real size is known when the next join is planned.
+"""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in spark.checkpoint.dir; a temporary one only on a local master."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one only on a local master."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="fraudloom-checkpoint-")
-    sc.setCheckpointDir(shared)
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+            shared = tempfile.mkdtemp(prefix="fraudloom-checkpoint-")
+        sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def fresh_path(spark: SparkSession, name: str = "cut") -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame once and continue from the written table."""
+    path = fresh_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """`cut`, with aggregates collected by the same job that writes."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]))
+    return out, seen.get

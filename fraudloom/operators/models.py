@@ -29,9 +29,9 @@ def probability(c: str = "probability") -> Column:
     return vector_to_array(F.col(c))[1]
 
 
-def logistic(features: list[str], label: str = "y", reg: float = 0.0, weight: str | None = None, max_iter: int = 100) -> Pipeline:
+def logistic(features: list[str], label: str = "y", reg: float = 0.0, weight: str | None = None, max_iter: int = 30) -> Pipeline:
     """Standardise, then an L2 logistic regression on the standardised columns."""
-    lr = LogisticRegression(featuresCol="z", labelCol=label, regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8)
+    lr = LogisticRegression(featuresCol="z", labelCol=label, regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6)
     if weight:
         lr = lr.setWeightCol(weight)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="v", handleInvalid="error"), StandardScaler(inputCol="v", outputCol="z", withMean=True), lr])
@@ -40,7 +40,7 @@ def logistic(features: list[str], label: str = "y", reg: float = 0.0, weight: st
 def platt_fit(scored: DataFrame, score: str = "p", label: str = "y") -> PipelineModel:
     """One-feature logistic curve on out-of-fold scores; strictly monotone."""
     n = scored.count()
-    lr = LogisticRegression(featuresCol="pv", labelCol=label, regParam=1.0 / max(1, n), standardization=False, maxIter=100, probabilityCol="pp", rawPredictionCol="pr", predictionCol="pq")
+    lr = LogisticRegression(featuresCol="pv", labelCol=label, regParam=1.0 / max(1, n), standardization=False, maxIter=30, probabilityCol="pp", rawPredictionCol="pr", predictionCol="pq")
     return Pipeline(stages=[VectorAssembler(inputCols=[score], outputCol="pv"), lr]).fit(scored)
 
 
@@ -57,7 +57,7 @@ def out_of_fold(df: DataFrame, features: list[str], folds: int, fold: str = "fol
         model = fit_logistic(train, features, label, balanced)
         scored = model.transform(test).withColumn("p", probability()).select(*df.columns, "p")
         if calibrate:
-            inner = stratified_folds(train.drop(fold), 3, label, seed=f)
+            inner = cut(stratified_folds(train.drop(fold), 3, label, seed=f))
             raw = cut(out_of_fold(inner, features, 3, "fold", label, balanced).select("p", label))
             scored = platt_predict(platt_fit(raw, "p", label), scored, "oof").drop("p").withColumnRenamed("oof", "p")
         parts.append(scored)

@@ -80,10 +80,11 @@ def _aligned_correlation(dwell: DataFrame, flight: DataFrame, width_ms: float) -
     d = running_sums(chunk_by(dwell, "down", width_ms), ["session"], [F.col("down"), F.col("pos")], one).select("session", "i", "dwell")
     f = running_sums(chunk_by(flight, "down", width_ms), ["session"], [F.col("down"), F.col("pos")], one).select("session", "i", "flight")
     pair = d.join(f, ["session", "i"]).groupBy("session").agg(
-        F.count(L(1)).alias("n"), F.corr("dwell", "flight").alias("c"), F.stddev_pop("dwell").alias("sd"), F.stddev_pop("flight").alias("sf")
+        F.count(L(1)).alias("n"), F.covar_pop("dwell", "flight").alias("c"), F.stddev_pop("dwell").alias("sd"), F.stddev_pop("flight").alias("sf")
     )
-    ok = (F.col("n") >= 4) & (F.col("sd") > 1e-9) & (F.col("sf") > 1e-9) & ~F.isnan("c")
-    return pair.select("session", F.when(ok, F.col("c")).otherwise(0.0).alias("dwell_flight_corr"))
+    # corr() fails on a constant side in ANSI mode, and a constant dwell is what a bot produces
+    ok = (F.col("n") >= 4) & (F.col("sd") > 1e-9) & (F.col("sf") > 1e-9)
+    return pair.select("session", F.when(ok, F.col("c") / (F.col("sd") * F.col("sf"))).otherwise(0.0).alias("dwell_flight_corr"))
 
 
 def keystroke_features(keys: DataFrame, width_ms: float = 60_000.0, cut=K.FLIGHT_CUT_MS) -> DataFrame:

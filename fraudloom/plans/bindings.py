@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as K
 from ..sources.policy import FIELDS, effective_policies, overlay_rows
-from .registry import Tables
+from .registry import Tables  # noqa: F401
 
 L = F.lit
 # the shipped overlays, attached to two of the market segments

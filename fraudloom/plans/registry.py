@@ -38,14 +38,14 @@ def typed(sql: str, schema: str, digits: int | None) -> str:
     for field in filter(None, schema.split(", ")):
         name, kind = field.split(" ")
         value = f'CAST("{name}" AS {SQL_TYPES[kind]})'
-        out.append(f'round({value}, {digits}) + 0.0 AS "{name}"' if kind == "double" and digits is not None else f'{value} AS "{name}"')
+        out.append(f'round({value} + 1e-11::DOUBLE, {digits}) + 0.0 AS "{name}"' if kind == "double" and digits is not None else f'{value} AS "{name}"')
     return f"SELECT {', '.join(out)} FROM ({sql})" if out else sql
 
 
 def rounded(df: DataFrame, digits: int) -> DataFrame:
     real = (DoubleType, FloatType)
-    # adding 0.0 turns -0.0 into 0.0
-    return df.select(*[(F.round(F.col(f.name), digits) + 0.0).alias(f.name) if isinstance(f.dataType, real) else F.col(f.name) for f in df.schema.fields])
+    # the nudge settles exact decimal ties the same way whatever the last bit; + 0.0 removes -0.0
+    return df.select(*[(F.round(F.col(f.name) + 1e-11, digits) + 0.0).alias(f.name) if isinstance(f.dataType, real) else F.col(f.name) for f in df.schema.fields])
 
 
 class Tables:

@@ -163,4 +163,21 @@ SCHEMAS: dict[str, str] = {
     "ud1_registered_detectors": "detector string, status string, n bigint, score double",
     "ud2_registered_rule": "lucky boolean, n bigint, hits bigint",
     "ud4_sql_functions": "c_custkey bigint, shape_ok boolean, checksum_ok boolean, verdict string",
+    "ml8_check_claims": "claim string, found double, holds boolean",
+    "st1_telemetry_ingest": "token bigint, event_type string, value double",
+    "st2_telemetry_sessions": "token bigint, event_count bigint, dwell_mean_ms double, dwell_cv double, paste_count bigint",
+    "st3_stream_attach": "submission_id bigint, telemetry_id bigint",
+    "st4_running_scoreboard": "total bigint, fakes_caught bigint, fakes_total bigint, reals_passed bigint, reals_reviewed bigint, reals_rejected bigint, reals_total bigint, mean_latency_ms double, detection_rate double, false_accept_rate double, false_reject_rate double, accuracy double",
+    "st5_attack_wave": "day string, pattern string, n bigint",
+    "st5_attack_wave_sliding": "hour string, pattern string, n bigint",
+    "st6_alerts": "submission_id bigint, merchant_id string, final_score double",
+    "st7_stream_asset_links": "submission_id bigint, kind string, n_earlier bigint, first_submission bigint",
+    "snk1_write_verdicts": "submission_id bigint, verdict string",
+    "snk2_write_biometrics": "kind string, n bigint, submissions bigint",
+    "snk3_append_audit": "decision boolean, n bigint",
+    "snk4_write_report": "event_type string, mean double",
+    "src1_read_scores": "n bigint, y bigint, mean double",
+    "src2_read_sessions": "sessions bigint, keys bigint, bad bigint",
+    "src6_load_policy": "merchant_id string, min_risk_for_reject double, min_risk_for_review double, require_liveness boolean",
+    "src9_hash_assets": "files bigint, contents bigint",
 }

@@ -48,9 +48,14 @@ def write_biometrics(df: DataFrame, path: str) -> None:
     replace_by_key(df, path, ["submission_id", "kind"], ["created_at"])
 
 
-def append_audit(df: DataFrame, path: str) -> None:
-    """SNK3: append-only event log, partitioned by day."""
-    df.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+def append_audit(df: DataFrame, path: str, grain: str = "day") -> None:
+    """SNK3: append-only event log, partitioned by day (or by a coarser grain for sparse logs).
+
+    Rows of one period are brought together first, so a back-fill does not write one small
+    file per task and period; AQE splits a period that is too big for one task.
+    """
+    dated = df.withColumn(grain, F.to_date(F.date_trunc(grain, "created_at")))
+    dated.hint("rebalance", grain).write.mode("append").partitionBy(grain).parquet(path)
 
 
 def _safe(c: Column, t: T.DataType) -> Column:
