@@ -1,7 +1,7 @@
 """Small column expressions shared by every operator."""
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,7 +40,8 @@ def string_array(values) -> Column:
 
 
 def contains_any(c: Column, tokens) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(t)) for t in tokens])
+    """One pattern over all tokens, so that the text expression is evaluated once."""
+    return c.rlike("|".join(re.escape(t) for t in tokens))
 
 
 def name_norm(c: Column) -> Column:

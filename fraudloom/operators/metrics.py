@@ -113,14 +113,27 @@ def confusion_at(df: DataFrame, score: str, label: str, t, by: list[str] | None
     return rates(df.groupBy(*(by or [])).agg(*confusion_columns(F.col(score), F.col(label), t)))
 
 
+def grid_step(score: Column, grid: list[float]) -> Column:
+    """How many thresholds of an evenly spaced grid the score reaches, exactly.
+
+    The position is guessed by division and corrected against the two neighbouring
+    thresholds, so a rounding error of the division cannot move a score across one.
+    """
+    n, low, width = len(grid), grid[0], (grid[-1] - grid[0]) / (len(grid) - 1)
+    cuts = F.array(*[L(float("-inf")), *[L(t) for t in grid], L(float("inf"))])
+    guess = F.least(L(n), F.greatest(L(0), F.floor((score - low) / width).cast("int") + 1))
+    above = (score >= F.get(cuts, guess + 1)).cast("int")
+    below = (score < F.get(cuts, guess)).cast("int")
+    return guess + above - below
+
+
 def threshold_counts(df: DataFrame, score: str, label: str, grid: list[float]) -> DataFrame:
     """tp, fp, fn, tn at every grid threshold.
 
     One pass puts each score in the last grid step it reaches; the cumulative step runs
     over the grid (49 or 91 rows), not over the data.
     """
-    cuts = F.array(*[L(t) for t in grid])
-    step = F.size(F.filter(cuts, lambda c: c <= F.col(score)))
+    step = grid_step(F.col(score), grid)
     hist = df.groupBy(step.alias("step")).agg(count_when(F.col(label) == 1).alias("p"), count_when(F.col(label) == 0).alias("g"))
     # fixed-size driver literal: the grid is a parameter, not data
     axis = hist.sparkSession.createDataFrame([(i + 1, float(t)) for i, t in enumerate(grid)], "step int, threshold double")
