@@ -46,20 +46,22 @@ def normalise_pan(token: Column) -> Column:
     return F.when(F.length(token) == 10, fixed).otherwise(token)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once per row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _found(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
-def find_pan(text: Column) -> Column:
-    """First well-formed number, else the first one that glyph repair can produce."""
-    up = F.upper(text)
-    # the word boundary in front is looked at only where letters and digits already fit
-    head = K.PAN_SHAPE[: K.PAN_SHAPE.rindex("[")]
-    direct = _found(F.regexp_extract(up, rf"(?U){head}(?<=\b{head})[A-Z]\b", 0))
+def _pan_in_upper(up: Column) -> Column:
+    direct = _found(F.regexp_extract(up, rf"(?U)\b({K.PAN_SHAPE})\b", 1))
     # only runs that can hold the shape under some glyph confusion are cut into windows
     letter, digit = f"[A-Z{K.DIGITS_READ}]", f"[0-9{K.LETTERS_FOR_DIGITS}]"
-    runs = F.regexp_extract_all(up, F.lit("[A-Z0-9]{10,}+"), 0)
-    runs = F.filter(runs, lambda t: (F.length(t) <= 14) & t.rlike(f"{letter}{{5}}{digit}{{4}}{letter}"))
+    runs = F.filter(
+        F.regexp_extract_all(up, F.lit("[A-Z0-9]+"), 0), lambda t: F.length(t).between(10, 14) & t.rlike(f"{letter}{{5}}{digit}{{4}}{letter}")
+    )
     windows = F.flatten(
         F.transform(runs, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 9), lambda i: normalise_pan(F.substring(t, i, F.lit(10)))))
     )
@@ -67,6 +69,11 @@ def find_pan(text: Column) -> Column:
     return F.coalesce(direct, repaired)
 
 
+def find_pan(text: Column) -> Column:
+    """First well-formed number, else the first one that glyph repair can produce."""
+    return _let(F.upper(text), _pan_in_upper)
+
+
 def find_aadhaar(text: Column) -> Column:
     up = F.upper(text)
     direct = _found(F.regexp_replace(F.regexp_extract(up, rf"(?U)\b({K.AADHAAR_SHAPE})\b", 1), r"(?U)\s", ""))
