@@ -1,8 +1,9 @@
 """Fraud-ring graph: edges, connected components, ring summaries."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import fixed_values as K
 from ..functions.scalars import name_trim
@@ -102,33 +103,22 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(id) and edges(source, target) -> id, root, ring; singletons have a null ring.
 
     Edges with an unknown endpoint and self-edges are ignored.  Ring numbers are contiguous
-    from 0 in order of the lowest member.
+    from 0, in order of the lowest member for numeric ids and in hash order for text ids.
     """
     known = nodes.select("id").distinct()
     kept = edges.select(F.col("source").alias("u"), F.col("target").alias("v"))
     kept = kept.join(known.withColumnRenamed("id", "u"), "u", "left_semi").join(known.withColumnRenamed("id", "v"), "v", "left_semi")
     roots = component_roots(kept)
-    numbered = roots.select("root").distinct().select("root", F.col("root").cast("string").alias("k"))
-    if isinstance_numeric(roots, "root"):
-        ranked = row_numbers(numbered.select("root"), [], "root", [], "rn")
-    else:
-        ranked = _rank_strings(numbered.select("root"))
+    heads = roots.select("root").distinct()
+    numeric = isinstance(roots.schema["root"].dataType, NumericType)
+    ranked = row_numbers(heads, [], "root", [], "rn") if numeric else _rank_strings(heads)
     rings = roots.join(ranked.select("root", (F.col("rn") - 1).alias("ring")), "root")
     return nodes.join(rings, "id", "left")
 
 
-def isinstance_numeric(df: DataFrame, column: str) -> bool:
-    from pyspark.sql.types import NumericType
-
-    return isinstance(df.schema[column].dataType, NumericType)
-
-
 def _rank_strings(df: DataFrame) -> DataFrame:
-    """Ranks text ids with chunks cut by their first two bytes (order-preserving)."""
-    from .ordered import CHUNK, running_sums
-
-    prefix = F.conv(F.hex(F.encode(F.rpad(F.substring("root", 1, 2), 2, "\x00"), "UTF-8")), 16, 10).cast("bigint")
-    return running_sums(df.withColumn(CHUNK, prefix), [], [F.col("root")], {"rn": L(1).cast("bigint")})
+    """Numbers text ids in hash order: text may share long prefixes, hashes split evenly."""
+    return row_numbers(df.withColumn("k", F.xxhash64("root")), [], "k", ["root"], "rn").drop("k")
 
 
 def ring_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import CHUNK, row_numbers, running_sums
+from .durable import cut
+from .ordered import row_numbers
 
 L = F.lit
 
@@ -136,24 +137,52 @@ def cmu_sessionise(rows: DataFrame, keys_per_row: int, keys: int = 110) -> DataF
     return numbered.withColumn("session", s).filter((s + 1) * per <= F.col("total")).drop("rn", "total")
 
 
-def aalto_sessionise(sections: DataFrame, keys: int = 110) -> DataFrame:
+def aalto_sessionise(sections: DataFrame, keys: int = 110, chunk_rows: int = 4096) -> DataFrame:
     """Whole sections in text order accumulate until a session has `keys` keys; the tail is dropped.
 
-    sections: subject, section, n_keys (already aggregated from key events).  The running
-    total restarts after each session, which a window sum cannot do, so one fold walks the
-    ordered (section, n_keys) list of a subject; a subject has tens of sections.
+    sections: subject, section, n_keys (already aggregated from key events).
+
+    The running total restarts after every session, so a window sum cannot do it.  What a
+    run of sections does depends only on how many keys are open when it starts (0 to
+    keys - 1), so each chunk of a long subject is walked once for every possible start,
+    the small (subject, chunk) tables are chained, and each chunk is walked again from its
+    true start.  No task ever holds more than one chunk of sections.
     """
-    ordered = sections.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("section", "n_keys"))).alias("s"))
-    start = F.struct(L(0).cast("bigint").alias("have"), L(0).alias("session"), F.array().cast("array<struct<section:string,session:int>>").alias("out"))
+    ranked = sections.select("subject", "section", F.col("n_keys").cast("bigint").alias("n_keys"), F.conv(F.hex(F.substring(F.encode(F.rpad("section", 4, "\x00"), "UTF-8"), 1, 4)), 16, 10).cast("double").alias("__p"))
+    numbered = row_numbers(ranked, ["subject"], "__p", ["section"], "__rn")
+    chunked = numbered.withColumn("chunk", F.floor((F.col("__rn") - 1) / chunk_rows))
+    walk = F.array_sort(F.collect_list(F.struct("section", "n_keys")))  # at most chunk_rows entries
+    chunks = cut(chunked.groupBy("subject", "chunk").agg(walk.alias("s")))
+
+    def advance(open_keys):
+        """(keys open, sessions closed) after the chunk, from a given start."""
+        begin = F.struct(open_keys.cast("bigint").alias("have"), L(0).cast("bigint").alias("closed"))
+
+        def step(acc, x):
+            total = acc["have"] + x["n_keys"]
+            done = total >= keys
+            return F.struct(F.when(done, L(0)).otherwise(total).cast("bigint").alias("have"), (acc["closed"] + done.cast("bigint")).alias("closed"))
+
+        return F.aggregate("s", begin, step)
 
-    def step(acc, x):
+    moves = chunks.select("subject", "chunk", F.transform(F.sequence(L(0), L(keys - 1)), advance).alias("m"))
+    path = moves.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("chunk", "m"))).alias("path"))  # one entry per chunk
+    seed = F.struct(L(0).cast("bigint").alias("have"), L(0).cast("bigint").alias("session"), F.array().cast("array<struct<chunk:bigint,have:bigint,session:bigint>>").alias("out"))
+
+    def chain(acc, x):
+        move = F.get(x["m"], acc["have"].cast("int"))
+        entry = F.struct(x["chunk"].alias("chunk"), acc["have"].alias("have"), acc["session"].alias("session"))
+        return F.struct(move["have"].alias("have"), (acc["session"] + move["closed"]).alias("session"), F.array_append(acc["out"], entry).alias("out"))
+
+    starts = path.select("subject", F.aggregate("path", seed, chain).alias("f")).select("subject", F.col("f.session").alias("complete"), F.explode("f.out").alias("e"))
+    starts = starts.select("subject", "complete", "e.chunk", "e.have", "e.session")
+    begin = F.struct(F.col("have").alias("have"), F.col("session").alias("session"), F.array().cast("array<struct<section:string,session:bigint>>").alias("out"))
+
+    def label(acc, x):
         total = acc["have"] + x["n_keys"]
         done = total >= keys
-        return F.struct(
-            F.when(done, L(0)).otherwise(total).cast("bigint").alias("have"), (acc["session"] + done.cast("int")).alias("session"),
-            F.array_append(acc["out"], F.struct(x["section"].alias("section"), acc["session"].alias("session"))).alias("out"),
-        )
-
-    folded = ordered.select("subject", F.aggregate("s", start, step).alias("f"))
-    complete = F.filter("f.out", lambda e: e["session"] < F.col("f.session"))
-    return folded.select("subject", F.explode(complete).alias("e")).select("subject", "e.section", "e.session")
+        here = F.struct(x["section"].alias("section"), acc["session"].alias("session"))
+        return F.struct(F.when(done, L(0)).otherwise(total).cast("bigint").alias("have"), (acc["session"] + done.cast("bigint")).alias("session"), F.array_append(acc["out"], here).alias("out"))
+
+    labelled = chunks.join(starts, ["subject", "chunk"]).select("subject", "complete", F.explode(F.aggregate("s", begin, label)["out"]).alias("e"))
+    return labelled.filter(F.col("e.session") < F.col("complete")).select("subject", "e.section", F.col("e.session").cast("int").alias("session"))
