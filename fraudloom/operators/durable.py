@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,8 +35,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
-    """`cut`, with aggregates collected by the same job that writes."""
-    seen = Observation()
-    out = cut(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]))
-    return out, seen.get
+def cut_measured(df: DataFrame, *metrics: Column) -> tuple[DataFrame, tuple]:
+    """`cut`, and aggregates read back from the written table.
+
+    (An Observation would save the read, but once a session has one, closures that capture
+    the session can no longer be serialised.)
+    """
+    out = cut(df)
+    return out, tuple(out.agg(*metrics).first())

@@ -7,7 +7,7 @@ from pyspark.sql.types import NumericType
 
 from ..functions import fixed_values as K
 from ..functions.scalars import name_trim
-from .durable import cut, cut_observed
+from .durable import cut, cut_measured
 from .ordered import row_numbers
 from .similarity import fold_copies, similar_forest, similar_pairs, usable_vectors
 
@@ -82,15 +82,15 @@ def component_roots(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a hub never has its neighbours collected.  Every round is checkpointed and the loop
     ends when the edge set stops changing.
     """
-    stamp = {"n": F.count(L(1)), "h": F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))}
-    e, state = cut_observed(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), **stamp)
+    stamp = [F.count(L(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))]
+    e, state = cut_measured(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), *stamp)
     for _ in range(max_rounds):
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = sym.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         turned = large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e, after = cut_observed(turned.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), **stamp)
+        e, after = cut_measured(turned.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), *stamp)
         if after == state:
             break
         state = after
