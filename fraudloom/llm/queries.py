@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join
+from . import decontaminate, jaccard_join, mix_sources, shard, suffix_tree_lm, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,9 +14,25 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), 10)
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, folder, "documents"), "piece_bpe_32k.model", limit=4096)
+
+
+def op4_suffix_tree_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree_lm.score_documents(_table(spark, folder, "documents"), 10)
+
+
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, folder, "documents"), 3, (90, 100)).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op7_jaccard_join)}
+def op9_shard(spark: SparkSession, folder: str) -> DataFrame:
+    return shard.shard_table(_table(spark, folder, "documents"), 16)
+
+
+def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources.mix_table(_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op4_suffix_tree_lm, op7_jaccard_join, op9_shard, op10_mix_sources)}
 ORACLES = {"op1_decontaminate": decontaminate.SQL}
