@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mix_sources, shard, suffix_tree_lm, token_counts
+from . import ann, decontaminate, jaccard_join, license_scan, mix_sources, quality_kn, shard, suffix_tree_lm, token_counts, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,14 +18,30 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), "piece_bpe_32k.model", limit=4096)
 
 
+def op3_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(_table(spark, folder, "embeddings"), 50, 5)
+
+
 def op4_suffix_tree_lm(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree_lm.score_documents(_table(spark, folder, "documents"), 10)
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"), 5)
+
+
+def op6_quality_kn(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_kn.quality_table(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, folder, "documents"), 3, (90, 100)).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(_table(spark, folder, "documents"), license_scan.templates(spark))
+
+
 def op9_shard(spark: SparkSession, folder: str) -> DataFrame:
     return shard.shard_table(_table(spark, folder, "documents"), 16)
 
@@ -34,5 +50,5 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources.mix_table(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op4_suffix_tree_lm, op7_jaccard_join, op9_shard, op10_mix_sources)}
-ORACLES = {"op1_decontaminate": decontaminate.SQL}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_cross_polytope, op4_suffix_tree_lm, op5_toxicity, op6_quality_kn, op7_jaccard_join, op8_license_scan, op9_shard, op10_mix_sources)}
+ORACLES = {"op1_decontaminate": decontaminate.SQL, "op8_license_scan": license_scan.SQL}
