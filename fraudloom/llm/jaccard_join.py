@@ -33,9 +33,9 @@ from ..operators.graph import component_roots
 from .common import checked, cut, text_key
 from .tokens import mix, shingle_sets, slices
 
-CELL_BITS = 22  # 4 MB sketch, whatever the input; more bits only prune better
+CELL_BITS = 23  # 8 MB sketch, whatever the input; more bits only prune better
 SEGMENTS = 64
-BITMAP_WORDS = 16  # 1024 bits
+SHORT_BITS, LONG_BITS, LONG_SET = 512, 2048, 1000  # bitmap of a set, and from which size on it is the long one
 BLOCK = 512
 
 
@@ -48,9 +48,22 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the number of shingles that fall on each bit."""
-    at = (mix(s) & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=64 * BITMAP_WORDS) & 1).astype(np.uint8)).tobytes()
+    """Parity of the number of shingles that fall on each bit; a long bitmap folds to the short one by XOR."""
+    width = SHORT_BITS if len(s) < LONG_SET else LONG_BITS
+    at = (mix(s) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _unpack_bitmaps(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(short bitmaps of all, row of the long ones or -1, long bitmaps)."""
+    long = np.array([len(b) * 8 == LONG_BITS for b in blobs], bool)
+    short = np.zeros((len(blobs), SHORT_BITS // 64), np.uint64)
+    short[~long] = np.frombuffer(b"".join(b for b in blobs if len(b) * 8 != LONG_BITS), np.uint64).reshape(-1, SHORT_BITS // 64)
+    full = np.frombuffer(b"".join(b for b in blobs if len(b) * 8 == LONG_BITS), np.uint64).reshape(-1, LONG_BITS // 64)
+    short[long] = np.bitwise_xor.reduce(full.reshape(len(full), LONG_BITS // SHORT_BITS, -1), axis=1) if len(full) else 0
+    at = np.full(len(blobs), -1)
+    at[long] = np.arange(len(full))
+    return short, at, full
 
 
 def _cells(s: np.ndarray) -> np.ndarray:
@@ -75,7 +88,7 @@ def _profile(k: int):
                 )
         if counts.any():
             parts = counts.reshape(SEGMENTS, -1)
-            blobs = [zlib.compress(p.tobytes(), 1) for p in parts]
+            blobs = [zlib.compress(np.minimum(p, 255).astype(np.uint8).tobytes(), 1) for p in parts]
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(SEGMENTS, ids.type), pa.nulls(SEGMENTS, pa.int64()), pa.nulls(SEGMENTS, pa.int64()), pa.nulls(SEGMENTS, pa.binary()), pa.array(range(SEGMENTS), pa.int32()), pa.array(blobs, pa.binary())],
                 names=["doc_id", "tkey", "n", "digest", "segment", "cells"],
@@ -89,7 +102,7 @@ def _sum_cells(batches):
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for seg, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            part = np.frombuffer(zlib.decompress(blob), np.uint32)
+            part = np.frombuffer(zlib.decompress(blob), np.uint8)
             total[seg] = total[seg] + part if seg in total else part.astype(np.uint64)
     if total:
         # the order needs magnitudes only: a step of one eighth of a power of two
@@ -133,25 +146,54 @@ def _prefixes(k: int, num: int, den: int, sketch):
 
 def _explode_prefix(batches):
     for b in batches:
-        gids, prefixes = b.column(0), b.column(1).to_pylist()
+        gnums, prefixes = b.column(0), b.column(1).to_pylist()
         lens = np.array([len(p) // 8 for p in prefixes], np.int64)
         tokens = np.frombuffer(b"".join(prefixes), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(tokens), gids.take(pa.array(np.repeat(np.arange(len(lens)), lens)))], names=["token", "gid"])
+        yield pa.RecordBatch.from_arrays([pa.array(tokens), gnums.take(pa.array(np.repeat(np.arange(len(lens)), lens)))], names=["token", "gnum"])
 
 
 def _list_pairs(num: int, den: int, forest: bool):
-    """Rows sorted by list key -> passing pairs (a, b); forest: at most one path between two members of a list."""
-
-    def pairs_of(key, n, blk, two, lab, bits):
-        """key: list of each row; lab: component label. All numpy, rows sorted by key."""
-        m, out = len(key), []
-        # |s1|, |s2| within reach: den * min >= num * max, and popcount <= (den-num)/(den+num) (n1+n2)
-        tiers = (0.7, 1.0) if forest else (1.0,)
-        for tier in tiers:
-            gap = 1
-            live = np.arange(m)
+    """Rows sorted by list key -> passing pairs (list, a, b); forest: at most one path between two members of a list."""
+
+    def passing(x, y, n, short, at, full, tier):
+        """popcount of the XOR is at most tier (den-num)/(den+num) (n1+n2)."""
+        most = tier * (den - num) * (n[x] + n[y])
+        ok = np.bitwise_count(short[x] ^ short[y]).sum(axis=1, dtype=np.int64) * (den + num) <= most
+        both = np.flatnonzero(ok & (at[x] >= 0) & (at[y] >= 0))
+        if len(both):
+            ok[both] = np.bitwise_count(full[at[x[both]]] ^ full[at[y[both]]]).sum(axis=1, dtype=np.int64) * (den + num) <= most[both]
+        return ok
+
+    def merge(lab, x, y):
+        """Joins the labels of x and y, in place; which pairs joined two."""
+        parent: dict[int, int] = {}
+
+        def find(v):
+            while (p := parent.get(v, v)) != v:
+                v = p
+            return v
+
+        keep = np.zeros(len(x), bool)
+        for i, (u, v) in enumerate(zip(lab[x].tolist(), lab[y].tolist())):
+            u, v = find(u), find(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                keep[i] = True
+        if parent:
+            old = np.array(sorted(parent), np.int64)
+            new = np.array([find(v) for v in old.tolist()], np.int64)
+            at = np.minimum(np.searchsorted(old, lab), len(old) - 1)
+            hit = old[at] == lab
+            lab[hit] = new[at[hit]]
+        return keep
+
+    def pairs_of(key, n, blk, two, lab, maps):
+        """Rows sorted by key; lab: component label of each row."""
+        out = [np.zeros((2, 0), np.int64)]
+        for tier in (0.7, 1.0) if forest else (1.0,):
+            gap, live = 1, np.arange(len(key))
             while True:
-                live = live[live + gap < m]
+                live = live[live + gap < len(key)]
                 live = live[key[live] == key[live + gap]]
                 if not len(live):
                     break
@@ -160,57 +202,27 @@ def _list_pairs(num: int, den: int, forest: bool):
                 a, b = a[ok], b[ok]
                 for c in range(0, len(a), 1 << 16):
                     x, y = a[c : c + (1 << 16)], b[c : c + (1 << 16)]
-                    if forest:
-                        z = lab[x] != lab[y]
-                        x, y = x[z], y[z]
-                    far = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-                    good = far * (den + num) <= tier * (den - num) * (n[x] + n[y])
+                    good = passing(x, y, n, *maps, tier)
                     x, y = x[good], y[good]
-                    if forest and len(x):
-                        # union of labels, one edge per merge
-                        parent: dict[int, int] = {}
-
-                        def find(v):
-                            while (p := parent.get(v, v)) != v:
-                                v = p
-                            return v
-
-                        keep = np.zeros(len(x), bool)
-                        for i, (u, v) in enumerate(zip(lab[x].tolist(), lab[y].tolist())):
-                            u, v = find(u), find(v)
-                            if u != v:
-                                parent[max(u, v)] = min(u, v)
-                                keep[i] = True
+                    if forest:
+                        keep = merge(lab, x, y)
                         x, y = x[keep], y[keep]
-                        old = np.array(list(parent), np.int64)
-                        new = np.array([find(v) for v in parent], np.int64)
-                        order = np.argsort(old)
-                        old, new = old[order], new[order]
-                        at = np.minimum(np.searchsorted(old, lab), len(old) - 1)
-                        hit = old[at] == lab
-                        lab[hit] = new[at[hit]]
                     out.append(np.stack([x, y]))
                 gap += 1
-        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return np.concatenate(out, axis=1)
+
+    def work(rows: pa.Table):
+        key = rows["key"].to_numpy()
+        lists = np.cumsum(np.concatenate(([True], key[1:] != key[:-1])))
+        nums, comp = rows["num"].to_numpy(), rows["comp"].to_numpy()
+        lab = np.arange(len(key)) if forest else np.unique(comp, return_inverse=True)[1]
+        pick = pairs_of(lists, rows["n"].to_numpy(), rows["blk"].to_numpy(), rows["two"].to_numpy(), lab, _unpack_bitmaps(rows["bits"].to_pylist()))
+        token = rows["token"].to_numpy()
+        if pick.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(token[pick[0]]), pa.array(nums[pick[0]]), pa.array(nums[pick[1]])], names=["token", "a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-
-        def work(rows: pa.Table):
-            digests = rows["digest"].combine_chunks()
-            key = rows["key"].to_numpy()
-            change = np.concatenate(([True], key[1:] != key[:-1]))
-            lists = np.cumsum(change)
-            comp = rows["comp"].combine_chunks()
-            # labels: a component means the same in every list; a member without one is itself, per list when a forest is built
-            codes = comp.dictionary_encode().indices.to_numpy().astype(np.int64)
-            lab = np.arange(len(key), dtype=np.int64) if forest else codes
-            bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(key), BITMAP_WORDS)
-            pick = pairs_of(lists, rows["n"].to_numpy(), rows["blk"].to_numpy(), rows["two"].to_numpy(zero_copy_only=False), lab, bits)
-            if pick.shape[1]:
-                a, b = digests.take(pa.array(pick[0])), digests.take(pa.array(pick[1]))
-                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -229,7 +241,7 @@ def _list_pairs(num: int, den: int, forest: bool):
     return run
 
 
-def _sets(k: int, wanted_in_task: bool = True):
+def _sets(k: int):
     """text -> (digest, set), once per digest of the task."""
 
     def run(batches):
@@ -257,30 +269,36 @@ def _verify(num: int, den: int):
                 both.sort(kind="stable")
                 inter = int((both[1:] == both[:-1]).sum())
                 keep.append(den * inter >= num * (len(x) + len(y) - inter))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))  # the sets end here
 
     return run
 
 
-def _links(docs: DataFrame, slim: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The candidate pairs that link, checked on the full sets of one text per class."""
+def _links(docs: DataFrame, slim: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The candidate pairs (a, b) that link, checked on the full sets of one text per class."""
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+    ends = pairs.select(F.col("a").alias("num")).unionByName(pairs.select(F.col("b").alias("num"))).distinct()
+    wanted = reps.select("num", "digest").join(ends, "num", "left_semi")
     one_text = slim.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("tkey").alias("tkey"))
-    texts = cut(one_text.join(ends, "digest", "left_semi").select("tkey"))
+    texts = cut(one_text.join(wanted, "digest").select("tkey"))
     rows = docs.select(text_key().alias("tkey"), "text").join(checked(texts), "tkey", "left_semi")
-    sets = rows.select("text").mapInArrow(_sets(k), "digest binary, items binary").groupBy("digest").agg(F.first("items").alias("items"))
-    sets = cut(sets)
-    both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("items").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a binary, b binary"))
+    sets = rows.select("text").mapInArrow(_sets(k), "digest binary, items binary").join(wanted, "digest")
+    sets = cut(sets.groupBy("num").agg(F.first("items").alias("items")))
+    both = pairs.join(sets.select(F.col("num").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("num").alias("b"), F.col("items").alias("y")), "b")
+    return cut(both.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a bigint, b bigint"))
+
 
+def _roots(links: DataFrame) -> DataFrame:
+    return component_roots(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "num")
 
-def jaccard_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10)) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, classes, links) of `docs` (doc_id, text, ...).
+
+def jaccard_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10)) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, classes, roots, links) of `docs` (doc_id, text, ...).
 
     documents: doc_id, tkey, n, digest (null: empty set), one row per input row.
-    classes: digest, root (binary; the class of the component that stands for it), for every
-    class that has a link.  links: class pairs a, b that were verified.
+    classes: num, digest, n, one row per distinct set.  links: class pairs a, b that were
+    verified.  roots: num, root (the class that stands for the component), for every class
+    with a link.
     """
     num, den = threshold
     spark = docs.sparkSession
@@ -288,7 +306,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     id_type = docs.schema["doc_id"].dataType.simpleString()
     first = cut(src.mapInArrow(_profile(k), f"doc_id {id_type}, tkey bigint, n bigint, digest binary, segment int, cells binary"))
     slim = first.filter("n IS NOT NULL").select("doc_id", "tkey", "n", "digest")
-    sums = first.filter("segment IS NOT NULL").select("segment", "cells").repartition(SEGMENTS, "segment").mapInArrow(_sum_cells, "segment int, cells binary").collect()  # 4 MB at any size
+    sums = first.filter("segment IS NOT NULL").select("segment", "cells").repartition(SEGMENTS, "segment").mapInArrow(_sum_cells, "segment int, cells binary").collect()  # 8 MB at any size
     width = (1 << CELL_BITS) // SEGMENTS
     levels = np.zeros(1 << CELL_BITS, np.uint8)
     for seg, blob in sums:
@@ -296,33 +314,38 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     sketch = spark.sparkContext.broadcast(levels.tobytes())
 
     found = docs.select("text").mapInArrow(_prefixes(k, num, den, sketch), "digest binary, n bigint, gid binary, prefix binary, bits binary")
-    reps = cut(found.groupBy("digest").agg(F.first(F.struct("n", "gid", "prefix", "bits")).alias("r")).select("digest", "r.*"))
-    groups = reps.groupBy("gid").agg(F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("size"))
-    postings = groups.select("gid", "prefix").mapInArrow(_explode_prefix, "token bigint, gid binary")
+    reps = found.groupBy("digest").agg(F.first(F.struct("n", "gid", "prefix", "bits")).alias("r")).select("digest", "r.*")
+    reps = cut(reps.withColumn("num", F.monotonically_increasing_id()))  # stored, so a class keeps its number
+    groups = reps.groupBy("gid").agg(F.min(F.struct("num", "prefix")).alias("r"), F.count(F.lit(1)).alias("size")).select("gid", F.col("r.num").alias("gnum"), F.col("r.prefix").alias("prefix"), "size")
+    several = cut(groups.filter("size > 1").select("gid", "gnum", "size"))
+    postings = groups.select("gnum", "prefix").mapInArrow(_explode_prefix, "token bigint, gnum bigint")
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token")
-    lists = postings.join(shared, "token")
     # members of one group meet in a list of their own
-    within = groups.filter("size > 1").select(F.xxhash64("gid").alias("token"), "gid")
-    entries = lists.unionByName(within).join(reps.select("gid", "digest", "n", "bits"), "gid")
-    entries = cut(entries.select("token", "digest", "n", "bits"))
-    crowd = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > BLOCK).select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("nb"))
-
-    def pairs(labelled: DataFrame, forest: bool) -> DataFrame:
-        df = labelled.join(crowd, "token", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-        df = df.withColumn("blk", F.pmod(F.xxhash64("digest"), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        df = df.select(F.xxhash64("token", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "digest", "n", "bits", "comp", "blk", (F.col("blk") != F.col("other")).alias("two"))
+    lists = cut(postings.join(shared, "token").unionByName(several.select(F.xxhash64("gid").alias("token"), "gnum")))
+    members = reps.select("gid", "num", "n", "bits").join(checked(several.select("gid", "gnum")), "gid", "left").select(F.coalesce("gnum", "num").alias("gnum"), "num", "n", "bits")
+    weight = several.select("gnum", "size")
+    crowd = lists.join(checked(weight), "gnum", "left").groupBy("token").agg(F.sum(F.coalesce("size", F.lit(1))).alias("members")).filter(F.col("members") > BLOCK)
+    crowd = cut(crowd.select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("nb")))
+
+    def pairs(some: DataFrame, comps: DataFrame | None) -> DataFrame:
+        """Passing pairs of the lists; with components, only pairs across them."""
+        who = members.withColumn("comp", F.col("num")) if comps is None else members.join(comps, "num", "left").withColumn("comp", F.coalesce("root", "num")).drop("root")
+        df = some.join(who, "gnum").join(checked(crowd), "token", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+        df = df.withColumn("blk", F.pmod(F.xxhash64("num"), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         # a block meets itself in the list (b, b) only; in (b, c) only pairs across count
+        df = df.select(F.xxhash64("token", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "token", "num", "n", "bits", "comp", "blk", (F.col("blk") != F.col("other")).alias("two"))
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return df.repartition(parts, "key").sortWithinPartitions("key", "n").mapInArrow(_list_pairs(num, den, forest), "a binary, b binary")
-
-    links1 = _links(docs, slim, pairs(entries.withColumn("comp", F.col("digest")), True), k, num, den)
-    roots1 = component_roots(links1.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "digest")
-    labelled = entries.join(roots1, "digest", "left").select(*entries.columns, F.coalesce("root", "digest").alias("comp"))
-    links2 = _links(docs, slim, pairs(labelled, False), k, num, den)
+        return df.repartition(parts, "key").sortWithinPartitions("key", "n").mapInArrow(_list_pairs(num, den, comps is None), "token bigint, a bigint, b bigint")
+
+    pairs1 = cut(pairs(lists, None))
+    links1 = _links(docs, slim, reps, pairs1, k, num, den)
+    roots = _roots(links1)
+    # a list without a passing pair in round one has none in round two
+    again = lists.join(checked(pairs1.select("token").distinct()), "token", "left_semi")
+    pairs2 = pairs(again, roots).join(pairs1.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    links2 = _links(docs, slim, reps, pairs2, k, num, den)
     links = links1.unionByName(links2).distinct()
-    if links2.limit(1).count():
-        roots1 = component_roots(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "digest")
-    return slim, roots1, links
+    return slim, reps.select("num", "digest", "n"), _roots(links) if links2.limit(1).count() else roots, links
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -331,10 +354,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     Rows with null or empty text keep their own id.  Null ids are reached by links but never
     name a component unless all its ids are null.  A repeated row is a row of its own.
     """
-    slim, roots, _ = jaccard_classes(docs, k, threshold)
-    ids = slim.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("low")).join(roots, "digest", "left")
-    low = ids.groupBy(F.coalesce("root", "digest").alias("top")).agg(F.min("low").alias("component_id"))
-    named = ids.select("digest", F.coalesce("root", "digest").alias("top")).join(low, "top").select("digest", "component_id")
+    slim, classes, roots, _ = jaccard_classes(docs, k, threshold)
+    ids = slim.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("low")).join(classes, "digest").join(roots, "num", "left")
+    ids = ids.select("digest", "low", F.coalesce("root", "num").alias("top"))
+    low = ids.groupBy("top").agg(F.min("low").alias("component_id"))
+    named = ids.select("digest", "top").join(low, "top").select("digest", "component_id")
     out = slim.join(named, "digest", "left")
     return out.select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
