@@ -16,8 +16,8 @@ the gram adds as an entry, plus log back(gram) as a context.  So the model is a
 * all other lookups are rows (gram, document) joined with the table; a fixed-size Bloom
   filter keeps grams that are surely not in the table from being sent.
 
-Counts are exact for all training texts.  Occurrences are shuffled as sorted arrays of
-48-bit prefixes of gram hashes, 6 bytes each, and counted per bucket; a prefix stands for
+Counts are exact for all training texts.  Occurrences are shuffled as arrays of
+48-bit prefixes of gram hashes with a count, 7 bytes each, and counted per bucket; a prefix stands for
 its gram (two grams that meet in it share a count; at 10^8 grams that hits about 20).  Grams
 of three words are counted only if both their pairs passed the filter of repeated pairs,
 which loses none with a count of MIN_COUNT.
@@ -93,15 +93,21 @@ def _word_counts(batches):
 
 
 def _occurrences(n: int, parts: int, repeated):
-    """text -> (bucket, items): sorted 48-bit prefixes of all n-grams of the task, by range of the hash."""
+    """text -> (bucket, items): records (48-bit prefix, count up to 255) of the n-grams of the task, by range of the hash."""
 
     def run(batches):
         held, size = [], 0
 
         def rows():
-            g = np.sort(np.concatenate(held))
-            edge = np.searchsorted((g >> np.uint64(32)).astype(np.int64) * parts >> 32, np.arange(parts + 1), "left")
-            raw = (g >> np.uint64(DROPPED_BITS)).view(np.uint8).reshape(-1, 8)[:, :6]
+            g, c = np.unique(np.concatenate(held) >> np.uint64(DROPPED_BITS), return_counts=True)
+            many = -(-c // 255)  # a count over 255 takes several records
+            g, full = np.repeat(g, many), np.repeat(c, many)
+            first = np.concatenate(([0], np.cumsum(many)[:-1]))
+            left = full - 255 * (np.arange(len(g)) - np.repeat(first, many))
+            edge = np.searchsorted((g >> np.uint64(16)).astype(np.int64) * parts >> 32, np.arange(parts + 1), "left")
+            raw = np.empty((len(g), 7), np.uint8)
+            raw[:, :6] = g.view(np.uint8).reshape(-1, 8)[:, :6]
+            raw[:, 6] = np.minimum(left, 255)
             blobs = [raw[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
             return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "items"])
 
@@ -113,7 +119,7 @@ def _occurrences(n: int, parts: int, repeated):
                 ok &= part[:-1] & part[1:]
             held.append(g[ok])
             size += len(held[-1])
-            if size > 2_000_000:
+            if size > 3_000_000:
                 yield rows()
                 held, size = [], 0
         if size:
@@ -128,12 +134,14 @@ def _tally(batches):
     now = None
 
     def rows():
-        raw = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 6)
+        raw = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 7)
         g = np.zeros((len(raw), 8), np.uint8)
-        g[:, :6] = raw
-        g = np.sort(g.reshape(-1).view(np.uint64))
+        g[:, :6] = raw[:, :6]
+        g = g.reshape(-1).view(np.uint64)
+        order = np.argsort(g, kind="stable")
+        g, times = g[order], raw[order, 6].astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        c = np.diff(np.append(first, len(g)))
+        c = np.add.reduceat(times, first) if len(g) else times
         keep = c >= MIN_COUNT
         return pa.RecordBatch.from_arrays([pa.array((g[first[keep]] << np.uint64(DROPPED_BITS)).view(np.int64)), pa.array(c[keep].astype(np.int64))], names=["gram", "c"])
 
@@ -230,7 +238,7 @@ def learn(texts: DataFrame, depth: int = 2) -> dict:
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     p_word = words.select("gram", "c", ((F.col("c") + 0.1) / (total + 0.1 * (distinct + 1))).alias("p"))
     root = p_word.select(F.col("gram").alias("word"), F.col("p").alias("p_word"))
-    # a bucket holds about a million occurrences, 6 MB
+    # a bucket holds about a million occurrences, 7 MB at most
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, total // 1_000_000 + 1))
     added, contexts, repeated, parents, short, backs = [], [], None, p_word.select("gram", "c"), None, None
     form = "gram bigint, ctx bigint, low bigint, mid bigint, word bigint"
