@@ -1,7 +1,7 @@
 """What the operators of this folder share: size-checked joins and row keys."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.durable import cut, fresh_path  # noqa: F401  (used by the operators)
@@ -9,6 +9,12 @@ from ..operators.durable import cut, fresh_path  # noqa: F401  (used by the oper
 BROADCAST_ROWS = 200_000  # a side is broadcast only when it was counted and has at most this many slim rows
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, so that long texts do not add up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def checked(side: DataFrame, rows: int = BROADCAST_ROWS, known: int | None = None) -> DataFrame:
     """`side` with a broadcast hint if it is small (counted unless `known`); else as it is, for a shuffle join."""
     n = side.limit(rows + 1).count() if known is None else known

@@ -80,7 +80,7 @@ def _profile(k: int):
             for lo, hi, raw, off in slices(texts):
                 sets = shingle_sets(raw, off, k)
                 if any(map(len, sets)):
-                    counts += np.bincount(_cells(np.concatenate(sets)), minlength=len(counts)).astype(np.uint32)
+                    np.add.at(counts, _cells(np.concatenate(sets)), 1)
                 n = hi - lo
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, n), keys.slice(lo, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
@@ -316,6 +316,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     found = docs.select("text").mapInArrow(_prefixes(k, num, den, sketch), "digest binary, n bigint, gid binary, prefix binary, bits binary")
     reps = found.groupBy("digest").agg(F.first(F.struct("n", "gid", "prefix", "bits")).alias("r")).select("digest", "r.*")
     reps = cut(reps.withColumn("num", F.monotonically_increasing_id()))  # stored, so a class keeps its number
+    sketch.unpersist()
     groups = reps.groupBy("gid").agg(F.min(F.struct("num", "prefix")).alias("r"), F.count(F.lit(1)).alias("size")).select("gid", F.col("r.num").alias("gnum"), F.col("r.prefix").alias("prefix"), "size")
     several = cut(groups.filter("size > 1").select("gid", "gnum", "size"))
     postings = groups.select("gnum", "prefix").mapInArrow(_explode_prefix, "token bigint, gnum bigint")

@@ -4,9 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, decontaminate, jaccard_join, license_scan, mix_sources, quality_kn, shard, suffix_tree_lm, token_counts, toxicity
+from .common import bounded_batches
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
