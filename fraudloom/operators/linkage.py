@@ -31,7 +31,9 @@ def face_links(emb: DataFrame, threshold: float = K.SAME_PERSON, top_k: int = K.
     reps, members = fold_copies(rows)
     if mode == "prior":
         return _prior_links(rows, members, threshold, top_k, block_rows)
-    need = top_k + 1  # one of them may be the row itself
+    # vectors stored for one submission: its copies take places of their own in a list
+    stored = members.groupBy("submission_id").agg(F.count(L(1)).alias("n")).agg(F.coalesce(F.max("n"), L(1))).first()[0]
+    need = (top_k + 1) * stored  # one of the others may be the row itself
     if method == "approx":
         p = approx_pairs(reps, threshold)
         near = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
@@ -45,18 +47,19 @@ def face_links(emb: DataFrame, threshold: float = K.SAME_PERSON, top_k: int = K.
     flat = near.join(partner.select(F.col("rep").alias("b"), F.col("submission_id").alias("other_id")), "b")
     best = Window.partitionBy("a").orderBy(F.desc("similarity"), F.asc("other_id"))
     short = flat.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= need).groupBy("a").agg(
-        F.array_sort(F.collect_list(F.struct("rn", "other_id", "similarity"))).alias("list")  # at most top_k + 1 entries
+        F.array_sort(F.collect_list(F.struct("rn", "other_id", "similarity"))).alias("list")  # at most need entries
     )
     own = members.select("submission_id", F.col("rep").alias("a")).join(short, "a")
-    other = F.slice(F.filter("list", lambda e: e["other_id"] != F.col("submission_id")), 1, top_k)
-    links = own.select("submission_id", F.posexplode(other).alias("pos", "e")).select(
-        "submission_id", (F.col("pos") + 1).alias("rank"), "e.other_id", "e.similarity"
-    )
+    other = F.filter("list", lambda e: e["other_id"] != F.col("submission_id"))
+    links = own.select("submission_id", F.explode(other).alias("e")).groupBy("submission_id", "e.other_id").agg(F.max("e.similarity").alias("similarity"))
+    ranked = Window.partitionBy("submission_id").orderBy(F.desc("similarity"), F.asc("other_id"))  # at most need rows per stored vector
+    links = links.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top_k).select("submission_id", "rank", "other_id", "similarity")
     return _with_names(links, rows)
 
 
 def _with_names(links: DataFrame, rows: DataFrame) -> DataFrame:
-    info = rows.select("submission_id", "claimed_name", "merchant_id")
+    # one row per submission, however often it is stored
+    info = rows.groupBy("submission_id").agg(F.min(F.struct("claimed_name", "merchant_id")).alias("r")).select("submission_id", "r.*")
     mine = info.select("submission_id", F.col("claimed_name").alias("__mine"))
     theirs = info.select(F.col("submission_id").alias("other_id"), F.col("claimed_name").alias("other_name"), F.col("merchant_id").alias("other_merchant"))
     joined = links.join(mine, "submission_id").join(theirs, "other_id")
@@ -187,31 +190,27 @@ def best_asset_links(links: DataFrame, k: int = K.ASSET_LINK_LIMIT) -> DataFrame
     )
 
 
-def ring_siblings(hashes: DataFrame, subs: DataFrame, names_shown: int = 20) -> DataFrame:
-    """Per submission: how many others share its selfie bytes and under which other names.
+def ring_names(hashes: DataFrame, subs: DataFrame) -> DataFrame:
+    """content_hash, claimed_name, copies: every name under which a selfie file was sent, one row a name."""
+    selfies = hashes.filter((F.col("kind") == "selfie") & (F.coalesce("content_hash", L("")) != "")).select("submission_id", "content_hash")
+    named = selfies.join(subs.select("submission_id", "claimed_name"), "submission_id", "left")
+    return named.filter(F.coalesce("claimed_name", L("")) != "").groupBy("content_hash", "claimed_name").agg(F.count(L(1)).alias("copies"))
+
 
-    Names are pre-counted per (hash, name).  The list shows the first names_shown others in
-    order and n_other_names always holds the full count, so a hot file stays one short row.
+def ring_siblings(hashes: DataFrame, subs: DataFrame) -> DataFrame:
+    """Per submission: its selfie file, how many others share the bytes and under how many other names.
+
+    The names themselves are the rows of `ring_names` for the file: a list per submission
+    would hold them once per sharer.
     """
     selfies = hashes.filter((F.col("kind") == "selfie") & (F.coalesce("content_hash", L("")) != "")).select("submission_id", "content_hash")
     named = selfies.join(subs.select("submission_id", "claimed_name"), "submission_id", "left")
-    sizes = named.groupBy("content_hash").agg(F.count(L(1)).alias("copies")).filter("copies > 1")
-    per_name = named.filter(F.coalesce("claimed_name", L("")) != "").groupBy("content_hash", "claimed_name").agg(F.count(L(1)).alias("c"))
-    w = Window.partitionBy("content_hash").orderBy("claimed_name")
+    sizes = named.groupBy("content_hash").agg(F.count(L(1)).alias("sharers")).filter("sharers > 1")
+    per_name = ring_names(hashes, subs)
     totals = per_name.groupBy("content_hash").agg(F.count(L(1)).alias("n_names"))
-    shown = per_name.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= names_shown + 1).groupBy("content_hash").agg(
-        F.array_sort(F.collect_list("claimed_name")).alias("names")  # at most names_shown + 1
-    )
-    own = per_name.select("content_hash", "claimed_name", F.col("c").alias("own_c"))
-    full = named.join(sizes, "content_hash").join(totals, "content_hash", "left").join(shown, "content_hash", "left").join(own, ["content_hash", "claimed_name"], "left")
-    only_me = F.coalesce(F.col("own_c") == 1, L(False))
-    others = F.slice(F.filter(F.coalesce("names", F.array().cast("array<string>")), lambda n: ~(only_me & (n == F.col("claimed_name")))), 1, names_shown)
-    return full.select(
-        "submission_id",
-        (F.col("copies") - 1).alias("shared_selfie_with"),
-        (F.coalesce("n_names", L(0)) - only_me.cast("int")).alias("n_other_names"),
-        others.alias("other_names"),
-    )
+    full = named.join(sizes, "content_hash").join(totals, "content_hash", "left").join(per_name, ["content_hash", "claimed_name"], "left")
+    only_me = F.coalesce(F.col("copies") == 1, L(False))
+    return full.select("submission_id", "content_hash", (F.col("sharers") - 1).alias("shared_selfie_with"), (F.coalesce("n_names", L(0)) - only_me.cast("int")).alias("n_other_names"))
 
 
 # --- the channel -------------------------------------------------------------

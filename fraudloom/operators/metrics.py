@@ -134,7 +134,7 @@ def threshold_counts(df: DataFrame, score: str, label: str, grid: list[float]) -
     over the grid (49 or 91 rows), not over the data.
     """
     step = grid_step(F.col(score), grid)
-    hist = df.groupBy(step.alias("step")).agg(count_when(F.col(label) == 1).alias("p"), count_when(F.col(label) == 0).alias("g"))
+    hist = df.filter(F.col(score).isNotNull()).groupBy(step.alias("step")).agg(count_when(F.col(label) == 1).alias("p"), count_when(F.col(label) == 0).alias("g"))
     # fixed-size driver literal: the grid is a parameter, not data
     axis = hist.sparkSession.createDataFrame([(i + 1, float(t)) for i, t in enumerate(grid)], "step int, threshold double")
     full = axis.join(hist, "step", "full").select("step", "threshold", F.coalesce("p", L(0)).alias("p"), F.coalesce("g", L(0)).alias("g"))

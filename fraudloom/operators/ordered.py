@@ -15,7 +15,7 @@ CHUNK = "__chunk"
 
 def n_chunks(df: DataFrame) -> int:
     """As many chunks per group as the session has shuffle partitions."""
-    return max(2, min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def quantile_chunks(df: DataFrame, by: list[str], order: str, chunks: int | None = None) -> DataFrame:

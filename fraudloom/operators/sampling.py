@@ -123,8 +123,10 @@ def group_folds(df: DataFrame, k: int, group: str, seed: int = 0) -> DataFrame:
 
 
 def leave_one_group_out(df: DataFrame, group: str) -> list[tuple[str, DataFrame, DataFrame]]:
-    """(group, train, test) for each value of a low-cardinality strategy column."""
-    values = [r[0] for r in df.select(group).distinct().orderBy(group).limit(1000).collect()]
+    """(group, train, test) for each value of a low-cardinality strategy column; more than 1,000 values are refused."""
+    values = [r[0] for r in df.select(group).distinct().orderBy(group).limit(1001).collect()]
+    if len(values) > 1000:
+        raise ValueError(f"{group} has more than 1,000 values: one model per value is not a protocol for it")
     return [(v, df.filter(F.col(group) != v), df.filter(F.col(group) == v)) for v in values]
 
 

@@ -39,11 +39,11 @@ def fold_copies(emb: DataFrame, id_col: str = "submission_id") -> tuple[DataFram
 
 
 def _blocked(reps: DataFrame, blocks: int, extra: list[str] = []) -> DataFrame:
-    """Each row once per block pair (i <= j) it takes part in."""
+    """Each row once per block pair (i <= j) it takes part in; vectors of another dimension d are blocks of their own."""
     own = reps.withColumn("b", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
     pair = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     return own.select("rep", "vector", *extra, "b", pair.alias("o")).select(
-        "rep", "vector", *extra, "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")
+        "rep", "vector", *extra, "b", F.size("vector").alias("d"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")
     )
 
 
@@ -66,7 +66,9 @@ def _hits(a64: np.ndarray, b64: np.ndarray, threshold: float, same: bool, stripe
         if same:
             keep = c > r + at
             r, c = r[keep], c[keep]
-        sim = np.round(np.einsum("ij,ij->i", part[r], b64[c]), 12)  # equal vectors must tie
+        # both sides of 65,536 hits are gathered at a time, whatever the density
+        sim = np.concatenate([np.einsum("ij,ij->i", part[r[z : z + 65536]], b64[c[z : z + 65536]]) for z in range(0, len(r), 65536)] or [np.zeros(0)])
+        sim = np.round(sim, 12)  # equal vectors must tie
         keep = sim >= threshold
         yield r[keep] + at, c[keep], sim[keep]
 
@@ -87,7 +89,7 @@ def similar_pairs(reps: DataFrame, threshold: float, block_rows: int = BLOCK_ROW
         x, y, s = (np.concatenate(z) for z in zip(*found))
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "similarity": s})
 
-    return _blocked(reps, block_count(reps, block_rows)).groupBy("i", "j").applyInPandas(kernel, schema)
+    return _blocked(reps, block_count(reps, block_rows)).groupBy("d", "i", "j").applyInPandas(kernel, schema)
 
 
 def similar_top(reps: DataFrame, threshold: float, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -112,7 +114,7 @@ def similar_top(reps: DataFrame, threshold: float, k: int, block_rows: int = BLO
         f = pd.concat(kept)
         return best(f["a"].to_numpy(), f["b"].to_numpy(), f["similarity"].to_numpy())
 
-    return _blocked(reps, block_count(reps, block_rows)).groupBy("i", "j").applyInPandas(kernel, schema)
+    return _blocked(reps, block_count(reps, block_rows)).groupBy("d", "i", "j").applyInPandas(kernel, schema)
 
 
 def similar_prior(rows: DataFrame, threshold: float, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -143,7 +145,7 @@ def similar_prior(rows: DataFrame, threshold: float, k: int, block_rows: int = B
                 kept.append(best(f[ty < tx]))
         return best(pd.concat(kept))[names]
 
-    return _blocked(rows, block_count(rows, block_rows), ["at"]).groupBy("i", "j").applyInPandas(kernel, schema)
+    return _blocked(rows, block_count(rows, block_rows), ["at"]).groupBy("d", "i", "j").applyInPandas(kernel, schema)
 
 
 def similar_forest(reps: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -176,7 +178,7 @@ def similar_forest(reps: DataFrame, threshold: float, block_rows: int = BLOCK_RO
                         out.append((min(ida[p], idb[q]), max(ida[p], idb[q]), v))
         return pd.DataFrame(out, columns=["a", "b", "similarity"])
 
-    return _blocked(reps, block_count(reps, block_rows)).groupBy("i", "j").applyInPandas(kernel, schema)
+    return _blocked(reps, block_count(reps, block_rows)).groupBy("d", "i", "j").applyInPandas(kernel, schema)
 
 
 def similarity_histogram(reps: DataFrame, edges: list[float], tail: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -211,7 +213,7 @@ def similarity_histogram(reps: DataFrame, edges: list[float], tail: int, block_r
             }
         )
 
-    return _blocked(reps, block_count(reps, block_rows)).groupBy("i", "j").applyInPandas(kernel, "kind string, value double, n bigint, total double")
+    return _blocked(reps, block_count(reps, block_rows)).groupBy("d", "i", "j").applyInPandas(kernel, "kind string, value double, n bigint, total double")
 
 
 def approx_pairs(reps: DataFrame, threshold: float, tables: int = 6, width: float | None = None, seed: int = 7) -> DataFrame:

@@ -233,7 +233,7 @@ def form_features(sessions: DataFrame, focus: DataFrame, pastes: DataFrame) -> D
 def region_of(tag: Column) -> Column:
     """'en-IN' -> 'IN': the first two-letter part after the language."""
     parts = F.split(F.replace(tag, L("_"), L("-")), "-")
-    return F.upper(F.get(F.filter(F.slice(parts, 2, 16), lambda p: p.rlike("^[A-Za-z]{2}$")), 0))
+    return F.upper(F.get(F.filter(F.slice(parts, L(2), F.size(parts)), lambda p: p.rlike("^[A-Za-z]{2}$")), 0))
 
 
 def locale_incoherent(languages: Column, country: Column, js_offset: Column) -> Column:

@@ -92,7 +92,7 @@ def cosine(t):
     return e.join(nxt, "vec_id").select("vec_id", X.cosine(F.col("embedding"), F.col("other")).alias("cosine"))
 
 
-@query("sc16_name_norm", "SELECT count(DISTINCT trim(regexp_replace(lower(left(text, 200)), '\\s+', ' ', 'g'))) AS names FROM (SELECT c_name || '  ' || c_mktsegment AS text FROM customer)")
+@query("sc16_name_norm", "SELECT count(DISTINCT trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS names FROM (SELECT c_name || '  ' || c_mktsegment AS text FROM customer)")
 def names(t):
     return t.customer.select(X.name_norm(F.concat("c_name", L("  "), "c_mktsegment")).alias("n")).agg(F.countDistinct("n").alias("names"))
 
@@ -133,10 +133,16 @@ def asset_pairs(t):
 
 @query("jn15_ring_siblings", with_ctes(HASHES) + """, sizes AS (SELECT content_hash, count(*) AS c FROM hashes GROUP BY 1 HAVING count(*) > 1), nm AS (SELECT content_hash, claimed_name AS name, count(*) AS k FROM hashes GROUP BY 1, 2),
  o AS (SELECT h.submission_id, any_value(c) - 1 AS shared_selfie_with, list_sort(list(name) FILTER (WHERE name <> h.claimed_name OR k > 1)) AS others FROM hashes h JOIN sizes USING (content_hash) JOIN nm USING (content_hash) GROUP BY h.submission_id)
-SELECT submission_id, shared_selfie_with, coalesce(len(others), 0) AS n_other_names, coalesce(array_to_string(others[:20], ','), '') AS other_names FROM o""")
+SELECT submission_id, h.content_hash, shared_selfie_with, coalesce(len(others), 0) AS n_other_names FROM o JOIN hashes h USING (submission_id)""")
 def siblings(t):
     h = B.asset_hashes(t).withColumn("kind", L("selfie"))
-    return N.ring_siblings(h, h.select("submission_id", "claimed_name")).withColumn("other_names", F.array_join("other_names", ","))
+    return N.ring_siblings(h, h.select("submission_id", "claimed_name"))
+
+
+@query("jn15_ring_names", with_ctes(HASHES) + " SELECT content_hash, claimed_name, count(*) AS copies FROM hashes GROUP BY 1, 2")
+def sibling_names(t):
+    h = B.asset_hashes(t).withColumn("kind", L("selfie"))
+    return N.ring_names(h, h.select("submission_id", "claimed_name"))
 
 
 UNION_EDGES = f"""fedges AS (SELECT a AS source, b AS target, 'face' AS kind, sim AS weight, an <> bn AS name_differs FROM sims WHERE a < b AND sim >= {FACE_T}),

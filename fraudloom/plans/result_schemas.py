@@ -111,7 +111,8 @@ SCHEMAS: dict[str, str] = {
     "jn8_graph_face_edges": "source bigint, target bigint, kind string, weight double, name_differs boolean",
     "jn9_graph_asset_edges": "source bigint, target bigint, kind string, weight double, name_differs boolean, members bigint",
     "jn9_asset_pair_counts": "kind string, pairs bigint",
-    "jn15_ring_siblings": "submission_id bigint, shared_selfie_with bigint, n_other_names bigint, other_names string",
+    "jn15_ring_siblings": "submission_id bigint, content_hash string, shared_selfie_with bigint, n_other_names bigint",
+    "jn15_ring_names": "content_hash string, claimed_name string, copies bigint",
     "so2_strongest_edges": "source bigint, target bigint, kind string, weight double, name_differs boolean",
     "gr1_connected_components": "id bigint, root bigint, ring bigint",
     "gr2_threat_graph_rings": "ring bigint, size bigint, distinct_names bigint, max_score double, merchants string, has_exact_asset_reuse boolean",
