@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 22
-BLOCK_BYTES = 1 << 20
+SLICE_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 LONG_WORD = 1 << 22  # a longer word is hashed by blake2b, wherever it stands
 
 LOWER = np.arange(256, dtype=np.uint8)
