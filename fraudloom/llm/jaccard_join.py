@@ -200,8 +200,8 @@ def _list_pairs(num: int, den: int, forest: bool):
                 a, b = live, live + gap
                 ok = (lab[a] != lab[b]) & (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])) & (~two[a] | (blk[a] != blk[b]))
                 a, b = a[ok], b[ok]
-                for c in range(0, len(a), 1 << 16):
-                    x, y = a[c : c + (1 << 16)], b[c : c + (1 << 16)]
+                for c in range(0, len(a), 1 << 14):
+                    x, y = a[c : c + (1 << 14)], b[c : c + (1 << 14)]
                     good = passing(x, y, n, *maps, tier)
                     x, y = x[good], y[good]
                     if forest:
