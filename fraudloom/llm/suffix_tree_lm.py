@@ -13,8 +13,9 @@ the gram adds as an entry, plus log back(gram) as a context.  So the model is a
 (gram, value) that grows with the corpus, and scoring is a join:
 * grams with at least N / 2^20 occurrences are at most 2^20 per length and travel as a
   broadcast array;
-* all other lookups are rows (gram, document) joined with the table; a fixed-size Bloom
-  filter keeps grams that are surely not in the table from being sent.
+* all other lookups (gram, document, times) are joined with the table by range of the gram,
+  packed in blocks; a fixed-size Bloom filter keeps grams that are surely not in the table
+  from being sent.
 
 Counts are exact for all training texts.  Occurrences are shuffled as arrays of
 48-bit prefixes of gram hashes with a count, 7 bytes each, and counted per bucket; a prefix stands for
@@ -281,25 +282,94 @@ def _find(keys: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == g
 
 
-LOOKUP = ["row", "doc_id", "gram", "n_tokens", "n_known", "base", "score"]
+ROUTED = ["bucket", "kind", "items", "row", "doc_id", "n_tokens", "n_known", "base", "score"]
+VALUES, ASKED, TEXT = range(3)  # kinds of routed rows, in the order in which a bucket needs them
 
 
-def _lookups(depth: int, heavy_words, heavy_grams, filt):
-    """(row, doc_id, text) -> one row per text with the sums known here, and rows (row, gram) for the rest.
+def _planes(*columns: np.ndarray) -> bytes:
+    """Byte planes of columns of equal length: equal bytes come together, so a shuffle compresses them."""
+    return np.concatenate([c.view(np.uint8).reshape(len(c), -1) for c in columns], axis=1).T.tobytes()
 
-    A word to look up has an odd gram, other grams are even; the row of the text itself has gram null.
+
+def _unplaned(blob: bytes, *types) -> list[np.ndarray]:
+    ends = np.cumsum([np.dtype(t).itemsize for t in types])
+    raw = np.frombuffer(blob, np.uint8).reshape(ends[-1], -1).T
+    return [np.ascontiguousarray(raw[:, e - np.dtype(t).itemsize : e]).view(t)[:, 0] for e, t in zip(ends, types)]
+
+
+def _by_bucket(keys: np.ndarray, buckets: int):
+    """Sorted keys -> (bucket, from, to) of the buckets that occur; a bucket is a range of keys."""
+    own = (keys >> np.uint64(32)).astype(np.int64) * buckets >> 32
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else own
+    return zip(own[first].tolist(), first.tolist(), [*first[1:].tolist(), len(own)])
+
+
+def _routed(doc_type, kind: int, rows: list[tuple[int, bytes, int]]):
+    """Rows (bucket, items, row0) of a kind."""
+    n = len(rows)
+    ints = pa.nulls(n, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.nulls(n, doc_type), ints, ints, pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())], names=ROUTED
+    )
+
+
+def _route_values(buckets: int):
+    """(key, base, value, doc_id) -> values by bucket."""
+
+    def run(batches):
+        held, size, doc_type = [], 0, None
+
+        def rows():
+            key, base, value = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(key)
+            key, base, value = key[order], base[order], value[order]
+            return _routed(doc_type, VALUES, [(k, _planes(key[i:j], base[i:j], value[i:j]), 0) for k, i, j in _by_bucket(key, buckets)])
+
+        for b in batches:
+            doc_type = b.column(3).type
+            held.append((b.column(0).to_numpy().view(np.uint64), *[b.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (1, 2)]))
+            size += b.num_rows
+            if size > 500_000:
+                yield rows()
+                held, size = [], 0
+        if size:
+            yield rows()
+
+    return run
+
+
+def _lookups(depth: int, heavy_words, heavy_grams, filt, buckets: int):
+    """(row, doc_id, text) -> one row per text with the sums known here, and by bucket the (gram, text, times) to look up.
+
+    A word to look up has an odd gram, other grams are even.
     """
 
     def run(batches):
         keys, base, add = heavy_words.value
         often, worth = heavy_grams.value
         bits = np.frombuffer(filt.value, np.uint8)
+        held, size, doc_type = [], 0, None
+
+        def rows():
+            g, row = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(g, kind="stable")
+            g, row = g[order], row[order]
+            row0 = int(row.min())
+            first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (row[1:] != row[:-1]))))
+            times = np.diff(np.append(first, len(g))).astype(np.uint32)
+            g, row = g[first], (row[first] - row0).astype(np.uint32)
+            return _routed(doc_type, ASKED, [(k, _planes(g[i:j], row[i:j], times[i:j]), row0) for k, i, j in _by_bucket(g, buckets)])
+
         for b, lo, hi, seq, doc in _with_end(batches, 1 << 21):
             n = hi - lo
             ids = b.column(0).to_numpy()[lo:hi]
+            doc_type = b.column(1).type
+            if held and max(int(ids.max()), int(held[0][1].max())) - min(int(ids.min()), int(held[0][1].min())) >= 1 << 31:
+                yield rows()  # a text is known by its distance from the first, 32 bits
+                held, size = [], 0
             at, hit = _find(keys, seq)
             sums = [np.bincount(doc[hit], weights=w[at[hit]], minlength=n) for w in (base, add)] if len(keys) else [np.zeros(n), np.zeros(n)]
-            g_out, d_out = [seq[~hit] | np.uint64(1)], [doc[~hit]]
+            asked = [(seq[~hit] | np.uint64(1), doc[~hit])]
             for k in range(2, depth + 2):
                 g = _short(grams(seq, k))
                 if not len(g):
@@ -309,43 +379,83 @@ def _lookups(depth: int, heavy_words, heavy_grams, filt):
                 where, got = _find(often, g[start])
                 if got.any():
                     sums[1] += np.bincount(doc[start[got]], weights=worth[where[got]], minlength=n)
-                g_out.append(g[start[~got]])
-                d_out.append(doc[start[~got]])
+                asked.append((g[start[~got]], doc[start[~got]]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), b.column(1).slice(lo, n), pa.nulls(n, pa.int64()), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[hit], minlength=n)), pa.array(sums[0]), pa.array(sums[1])], names=LOOKUP
+                [pa.array((ids % buckets).astype(np.int32)), pa.array(np.full(n, TEXT, np.int32)), pa.nulls(n, pa.binary()), pa.array(ids), b.column(1).slice(lo, n), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[hit], minlength=n)), pa.array(sums[0]), pa.array(sums[1])], names=ROUTED
             )
-            g, d = np.concatenate(g_out), np.concatenate(d_out)
-            for a in range(0, len(g), 100_000):
-                z = slice(a, a + 100_000)
-                w = len(g[z])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[d[z]]), pa.nulls(w, b.column(1).type), pa.array(g[z].view(np.int64)), *[pa.nulls(w, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names=LOOKUP)
+            g, d = (np.concatenate(x) for x in zip(*asked))
+            if len(g):
+                held.append((g, ids[d]))
+                size += len(g)
+            if size > 2_000_000:
+                yield rows()
+                held, size = [], 0
+        if size:
+            yield rows()
+
+    return run
+
+
+def _resolve(miss: float):
+    """Rows sorted by (bucket, kind) -> (row, doc_id, n_tokens, n_known, base, score), parts of the sums of a text."""
+
+    def table(blobs: list[bytes]):
+        key, base, value = (np.concatenate(x) for x in zip(*[_unplaned(x, "<u8", "<f8", "<f8") for x in blobs])) if blobs else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+        order = np.argsort(key)
+        return key[order], base[order], value[order]
+
+    def run(batches):
+        now, blobs, known = None, [], None
+        for b in batches:
+            kind = b.column(1).to_numpy()
+            text = b.filter(pa.array(kind == TEXT))
+            if text.num_rows:
+                yield pa.RecordBatch.from_arrays(text.columns[3:], names=ROUTED[3:])
+            for i in np.flatnonzero(kind != TEXT).tolist():
+                bucket, blob = b.column(0)[i].as_py(), b.column(2)[i].as_py()
+                if bucket != now:
+                    now, blobs, known = bucket, [], None
+                if kind[i] == VALUES:
+                    blobs.append(blob)
+                    continue
+                if known is None:
+                    known, blobs = table(blobs), []
+                g, row, times = _unplaned(blob, "<u8", "<u4", "<u4")
+                at, hit = _find(known[0], g)
+                word = (g & np.uint64(1)).astype(bool)
+                worth, base = np.where(word, miss, 0.0), np.where(word, miss, 0.0)
+                worth[hit] = known[2][at[hit]]
+                some = hit & word
+                base[some] = known[1][at[some]]
+                u, of = np.unique(row, return_inverse=True)
+                n = len(u)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(u.astype(np.int64) + b.column(3)[i].as_py()), pa.nulls(n, b.column(4).type), pa.nulls(n, pa.int64()), pa.array(np.bincount(of, weights=times * some, minlength=n).astype(np.int64)), *[pa.array(np.bincount(of, weights=times * x, minlength=n)) for x in (base, worth)]], names=ROUTED[3:]
+                )
 
     return run
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """`docs` (row, doc_id, text) -> row, doc_id, n_tokens, n_known, base, score (log10)."""
-    words, table, total = model["words"], model["grams"], model["total"]
+    spark, words, table, total = docs.sparkSession, model["words"], model["grams"], model["total"]
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     miss = float(np.log(0.1 / (total + 0.1 * (model["distinct"] + 1))))
     least = max(2, -(-total // (1 << HEAVY_BITS)))
     filt = gram_filter(table)
-    found = docs.select("row", "doc_id", "text").mapInArrow(
-        _lookups(model["depth"], _packed(words, least, ["base", "add"]), _packed(table, least, ["add"]), filt), f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, gram bigint, n_tokens bigint, n_known bigint, base double, score double"
-    )
+    # a bucket holds the values of about four million occurrences
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000 + 1)
+    sums = "row bigint, doc_id {0}, n_tokens bigint, n_known bigint, base double, score double".format(id_type)
+    form = "bucket int, kind int, items binary, " + sums
+    asked = docs.select("row", "doc_id", "text").mapInArrow(_lookups(model["depth"], _packed(words, least, ["base", "add"]), _packed(table, least, ["add"]), filt, buckets), form)
     rare = words.filter(F.col("c") < least).select(F.col("gram").bitwiseOR(1).alias("key"), "base", F.col("add").alias("value"))
+    # words that differ in the last bit of their hash alone would share a key: one of them stands for both
+    rare = rare.groupBy("key").agg(F.max("base").alias("base"), F.max("value").alias("value"))
     values = rare.unionByName(table.filter(F.col("c") < least).select(F.col("gram").alias("key"), F.lit(None).cast("double").alias("base"), F.col("add").alias("value")))
-    values = values.withColumnRenamed("base", "value_base").groupBy("key").agg(F.max("value_base").alias("value_base"), F.max("value").alias("value"))
-    # the row of a text looks up a key of its own: nulls would all meet in one task
-    keyed = found.withColumn("key", F.coalesce("gram", F.xxhash64("row")))
-    met = keyed.join(values, "key", "left")
-    asked, word = F.col("gram").isNotNull(), F.col("gram").bitwiseAND(1) == 1
-    sums = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(asked & word & F.col("value").isNotNull(), 1).otherwise(0))).alias("n_known"),
-        F.sum(F.when(~asked, F.col("base")).when(word, F.coalesce("value_base", F.lit(miss))).otherwise(0.0)).alias("base"),
-        F.sum(F.when(~asked, F.col("score")).when(word, F.coalesce("value", F.lit(miss))).otherwise(F.coalesce("value", F.lit(0.0)))).alias("score"),
-    )
+    values = values.withColumn("doc_id", F.lit(None).cast(id_type)).mapInArrow(_route_values(buckets), form)
+    routed = values.unionByName(asked).repartition(min(buckets, 4096), "bucket").sortWithinPartitions("bucket", "kind")
+    parts = routed.mapInArrow(_resolve(miss), sums)
+    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return sums.select("row", "doc_id", "n_tokens", "n_known", (F.col("base") / LN10).alias("base"), (F.col("score") / LN10).alias("score"))
 
 
