@@ -3,9 +3,9 @@
 Lexicon: words and word beginnings (stems, 3 to 9 letters) that are far more frequent in
 texts labelled toxic than in others, learned with their weights (log ratio of the rates) from
 labelled training rows.  A word of a text matches a term exactly, through a stem, or within one edit
-of a term of five letters or more: the automaton of the word (rows of edit distances) is
-run along the trie and a branch ends when no state is left.  The outcome for a word is
-remembered within a task, so every distinct word is met once.
+of a term of five letters or more: the automaton of the word for one edit is run along the
+trie; behind the edit the rest has to match, so a branch ends with its first other letter.
+The outcome for a word is remembered within a task, so every distinct word is met once.
 
 Context: a hit whose neighbourhood of WINDOW words holds quotation marks or a reporting word
 counts QUOTED of its weight, so that text which quotes abuse stays apart from abuse.  A
@@ -52,7 +52,8 @@ class Lexicon:
         self.words, self.stems = words, stems
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
         self.trie: dict = {}
-        self.heads, self.tails = set(), set()
+        self.heads: dict[int, dict[int, set[str]]] = {}  # length of a word one edit away -> length of the half -> halves
+        self.tails: dict[int, dict[int, set[str]]] = {}
         for w in words:
             if len(w) < 5:
                 continue
@@ -61,30 +62,53 @@ class Lexicon:
                 node = node.setdefault(ch, {})
             node[""] = w
             h = len(w) // 2
-            self.heads.add(w[:h])
-            self.tails.add(w[h:])
-        self.cuts = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+            for n in (len(w) - 1, len(w), len(w) + 1):
+                self.heads.setdefault(n, {}).setdefault(h, set()).add(w[:h])
+                self.tails.setdefault(n, {}).setdefault(len(w) - h, set()).add(w[h:])
 
     def may_be_near(self, w: str) -> bool:
-        """One edit leaves the first or the last half of a term whole, at its end of the word."""
-        return any(w[:n] in self.heads for n in self.cuts[0]) or any(w[-n:] in self.tails for n in self.cuts[1])
+        """One edit changes the length by one at most and leaves the first or the last half of a term whole, at its end of the word."""
+        for n, halves in self.heads.get(len(w), {}).items():
+            if w[:n] in halves:
+                return True
+        for n, halves in self.tails.get(len(w), {}).items():
+            if w[-n:] in halves:
+                return True
+        return False
 
     def near(self, w: str) -> str | None:
-        """The term within one edit of `w` with the largest weight."""
+        """The term within one edit of `w` with the largest weight.
+
+        The automaton of `w` for one edit, run along the trie: one state has read i letters
+        without an edit, and from every node it passes the edit is made and the rest must match.
+        """
         best = None
-        stack = [(self.trie, list(range(len(w) + 1)))]
-        while stack:
-            node, row = stack.pop()
+
+        def end(node: dict | None, i: int) -> None:
+            nonlocal best
+            for ch in w[i:]:
+                if (node := node.get(ch)) is None:
+                    return
+            term = node.get("")
+            if term is not None and (best is None or self.words[term] > self.words[best]):
+                best = term
+
+        node, n = self.trie, len(w)
+        for i in range(n + 1):
+            ahead, rest = w[i : i + 1], w[i + 1 : i + 2]
             for ch, child in node.items():
                 if ch == "":
-                    if row[-1] <= 1 and (best is None or self.words[child] > self.words[best]):
-                        best = child
                     continue
-                new = [row[0] + 1]
-                for i, c in enumerate(w, 1):
-                    new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (c != ch)))
-                if min(new) <= 1:
-                    stack.append((child, new))
+                if i < n and ch != ahead and rest in child:  # another letter; `rest` is "" at the end of the word
+                    end(child, i + 1)
+                if ahead in child:  # a letter of the term left out
+                    end(child, i)
+            if i == n:
+                end(node, n)
+                break
+            end(node, i + 1)  # a letter too many
+            if (node := node.get(ahead)) is None:
+                break
         return best
 
     def meet(self, w: str) -> tuple[float, float]:
@@ -171,7 +195,8 @@ def _hits(lexicon, names: list[str]):
                             hot[x] = got
                         else:
                             dull.append(x)
-                known = np.sort(np.concatenate((known, np.array(dull, np.uint64)))) if len(known) < MEMO else np.sort(np.array(dull, np.uint64))
+                more = np.array(dull, np.uint64)  # in order, as `u` is: a stable sort merges two runs
+                known = np.sort(np.concatenate((known, more)), kind="stable") if len(known) < MEMO else more
                 n = hi - lo
                 exact, near = np.zeros(n), np.zeros(n)
                 if hot:
