@@ -101,8 +101,8 @@ def alert_stream(t):
     out = fresh_path(t.spark, "alerts")
     who = B.submissions(t).select("submission_id", "merchant_id")
     v = B.verdicts(streaming(t)).join(who, "submission_id")
-    finish(jobs.alerts(v, B.policies(t), lambda rows: rows.select("submission_id", "merchant_id", "final_score").write.mode("append").parquet(out), fresh_path(t.spark, "state")))
-    return t.spark.read.parquet(out)
+    finish(jobs.alerts(v, B.policies(t), lambda rows, batch: rows.select("submission_id", "merchant_id", "final_score").write.mode("overwrite").parquet(f"{out}/batch={batch}"), fresh_path(t.spark, "state")))
+    return t.spark.read.parquet(out).drop("batch")
 
 
 @query("st7_stream_asset_links", with_ctes(HASHES) + "SELECT n.submission_id, n.kind, count(DISTINCT o.submission_id) AS n_earlier, min(o.submission_id) AS first_submission FROM hashes n JOIN hashes o ON o.kind = n.kind AND o.content_hash = n.content_hash WHERE n.submission_id % 2 = 1 AND o.submission_id % 2 = 0 GROUP BY ALL")

@@ -74,11 +74,14 @@ def attack_wave(verdicts: DataFrame, slide: str | None = "1 hour", late: str = "
 
 
 def alerts(verdicts: DataFrame, policies: DataFrame, deliver, checkpoint: str) -> DataStreamWriter:
-    """ST6: notify per batch; a failing delivery is logged and never stops the verdict stream."""
+    """ST6: notify per batch; a failing delivery is logged and never stops the verdict stream.
+
+    `deliver(rows, batch_id)` can key its sink by the batch, so that a replay repeats nothing.
+    """
 
     def send(batch: DataFrame, batch_id: int) -> None:
         try:
-            deliver(alert_rows(batch, policies))
+            deliver(alert_rows(batch, policies), batch_id)
         except Exception as exc:  # delivery must not affect scoring
             log.warning("alert delivery failed for batch %s: %s", batch_id, exc)
 
@@ -86,13 +89,23 @@ def alerts(verdicts: DataFrame, policies: DataFrame, deliver, checkpoint: str) -
 
 
 def stream_asset_links(new_hashes: DataFrame, history_path: str, sink, checkpoint: str) -> DataStreamWriter:
-    """ST7: exact reuse of an earlier file, against the hash table as it is at each batch."""
+    """ST7: exact reuse of an earlier file, against the hash table as it is at each batch.
+
+    A submission does not link to itself, so a batch that is replayed after the history took
+    it in gives the same rows.
+    """
 
     def link(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        past = spark.read.parquet(history_path).filter(F.coalesce("content_hash", L("")) != "")
-        # one row per file: how often it was seen and by whom first
-        seen = past.groupBy("kind", "content_hash").agg(F.countDistinct("submission_id").alias("n_earlier"), F.min("submission_id").alias("first_submission"))
-        sink(batch.join(seen, ["kind", "content_hash"]).select("submission_id", "kind", "n_earlier", "first_submission"), batch_id)
+        spark, file = batch.sparkSession, ["kind", "content_hash"]
+        new = batch.filter(F.coalesce("content_hash", L("")) != "").select("submission_id", *file).distinct()
+        past = spark.read.parquet(history_path).select("submission_id", *file).join(new.select(*file).distinct(), file, "left_semi").distinct()
+        # one row per file: how often it was seen, by whom first and by whom next
+        seen = past.groupBy(*file).agg(F.count(L(1)).alias("n"), F.min("submission_id").alias("first"))
+        later = past.join(seen, file).filter(F.col("submission_id") > F.col("first")).groupBy(*file).agg(F.min("submission_id").alias("second"))
+        own = past.select(*file, "submission_id", L(1).alias("own"))
+        j = new.join(seen, file).join(later, file, "left").join(own, [*file, "submission_id"], "left")
+        first = F.when(F.col("submission_id") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+        out = j.select("submission_id", "kind", (F.col("n") - F.coalesce("own", L(0))).alias("n_earlier"), first.alias("first_submission"))
+        sink(out.filter("n_earlier > 0"), batch_id)
 
     return new_hashes.writeStream.foreachBatch(link).option("checkpointLocation", checkpoint)

@@ -92,14 +92,24 @@ def test_failing_delivery_does_not_stop_the_stream(spark):
     s = stream_of(spark, [[("a", "m", "REJECT", 0.95)], [("b", "m", "REJECT", 0.99)]], "submission_id string, merchant_id string, verdict string, final_score double", "v")
     seen = []
 
-    def deliver(rows):
-        seen.append(rows.count())
+    def deliver(rows, batch_id):
+        seen.append((batch_id, rows.count()))
         raise OSError("unreachable")
 
     pol = spark.createDataFrame([("m", 0.9)], "merchant_id string, webhook_min_score double")
     q = jobs.alerts(s, pol, deliver, fresh_path(spark, "state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert q.exception() is None and seen == [1, 1]
+    assert q.exception() is None and seen == [(0, 1), (1, 1)]
+
+
+def test_a_submission_does_not_link_to_itself(spark):
+    schema = "submission_id bigint, kind string, content_hash string"
+    past = fresh_path(spark, "history")
+    spark.createDataFrame([(1, "id", "x"), (2, "id", "x"), (2, "id", "x"), (5, "id", "y"), (6, "id", "")], schema).write.parquet(past)
+    s = stream_of(spark, [[(1, "id", "x"), (3, "id", "x"), (5, "id", "y"), (7, "id", ""), (8, "id", None)]], schema, "new")
+    got = []
+    jobs.stream_asset_links(s, past, lambda df, _: got.extend(df.collect()), fresh_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, got)) == [(1, "id", 1, 2), (3, "id", 2, 1)]
 
 
 def test_buffers_become_features_in_the_stream(spark):
