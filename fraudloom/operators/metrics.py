@@ -299,11 +299,12 @@ def balance_gate(audit: DataFrame) -> DataFrame:
 
 
 def leak_view(audit: DataFrame) -> DataFrame:
-    """Per field: how many leaks and expected one-sided values, and whether it is clean."""
+    """Per field: how many leaks and expected one-sided values, whether it is clean, and whether every field is."""
     leak, fine = F.col("one_sided") & ~F.col("expected"), F.col("one_sided") & F.col("expected")
-    return audit.groupBy("field").agg(
+    fields = audit.groupBy("field").agg(
         count_when(leak).alias("leaks"), count_when(fine).alias("expected_one_sided"), (count_when(leak) == 0).alias("clean"), F.sum("share_of_corpus").alias("share_of_corpus")
     )
+    return fields.crossJoin(F.broadcast(audit.agg((count_when(leak) == 0).alias("corpus_clean"))))  # one row
 
 
 def family_report(df: DataFrame, family: str = "family", points=(0.4, 0.5, 0.75)) -> DataFrame:

@@ -101,7 +101,7 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: dict[str,
     then picks its two neighbouring order statistics in one aggregation.
     `stats=True` adds n, mean, pop_std, lowest and highest from the same counts.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    counted = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     ranked = running_sums(quantile_chunks(counted, by, value), by, [F.col(value)], {"__upto": F.col("__n")}, {"__total": "__upto"})
     at = lambda k: F.min(F.when(F.col("__upto") > k, F.col(value)))
     pos = {n: F.lit(p) * (F.col("__total") - 1) for n, p in probs.items()}

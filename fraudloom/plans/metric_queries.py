@@ -163,7 +163,7 @@ def gate(t):
     return M.balance_gate(leak(t))
 
 
-@query("ag20_leak_view", with_ctes(SCORED, AUDITED) + "SELECT field, count(*) FILTER (WHERE one_sided AND NOT expected) AS leaks, count(*) FILTER (WHERE one_sided AND expected) AS expected_one_sided, count(*) FILTER (WHERE one_sided AND NOT expected) = 0 AS clean, sum(share_of_corpus) AS share_of_corpus FROM aud GROUP BY field")
+@query("ag20_leak_view", with_ctes(SCORED, AUDITED) + "SELECT field, count(*) FILTER (WHERE one_sided AND NOT expected) AS leaks, count(*) FILTER (WHERE one_sided AND expected) AS expected_one_sided, count(*) FILTER (WHERE one_sided AND NOT expected) = 0 AS clean, sum(share_of_corpus) AS share_of_corpus, (SELECT count(*) = 0 FROM aud WHERE one_sided AND NOT expected) AS corpus_clean FROM aud GROUP BY field")
 def leak_view(t):
     return M.leak_view(leak(t))
 

@@ -49,7 +49,7 @@ SCHEMAS: dict[str, str] = {
     "ag17_per_detector_median": "detector string, median double",
     "ag18_leak_audit": "field string, value string, genuine bigint, fraud bigint, p_fraud double, one_sided boolean, only_class string, expected boolean, share_of_corpus double",
     "ag19_balance_gate": "field string, value string, complaint string",
-    "ag20_leak_view": "field string, leaks bigint, expected_one_sided bigint, clean boolean, share_of_corpus double",
+    "ag20_leak_view": "field string, leaks bigint, expected_one_sided bigint, clean boolean, share_of_corpus double, corpus_clean boolean",
     "ag21_cost_curve": "threshold double, tp bigint, fp bigint, fn bigint, tn bigint, false_accept_rate double, false_reject_rate double, fraud_prevented double, fraud_leaked double, friction_cost double, net_benefit double",
     "ag21_cost_optimum": "threshold double, tp bigint, fp bigint, fn bigint, tn bigint, false_accept_rate double, false_reject_rate double, fraud_prevented double, fraud_leaked double, friction_cost double, net_benefit double",
     "ag32_profitable_range": "lowest double, highest double, points bigint",
