@@ -2,7 +2,8 @@
 
 A template is cut into nothing; a document is cut, per template length L, into windows of
 2L words that overlap by L, so every run of L + 1 words lies in one window whole.  Both
-sides are sets of five-word shingles (a shorter template is one shingle).  Band j hashes a
+sides are sets of five-word shingles (a template under five words is one shingle, and the
+windows it meets are cut into shingles of its own length).  Band j hashes a
 template to its shingle of least hash under seed j.  A window collides with the template in
 a band if it holds that shingle (the asymmetric form: the windows are longer than the
 template, and it is containment that counts), so a window that contains a share C of the
@@ -11,10 +12,14 @@ C = 1.  Every collision is verified: containment is computed on the shingles the
 
 Finding the windows that collide is one pass over the shingles of the text against the
 table of band shingles, BANDS rows a template, which is broadcast after its size is checked.
+Templates are the notices below and the full texts in the folder `licenses` (file name: id).
+A text that holds most of another is found as both (BSD-3-Clause as BSD-2-Clause too).
 Words are runs of 0-9, a-z (A-Z lowered) and non-ASCII characters; a null text has none.
 """
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,16 +28,26 @@ from .decontaminate import words
 
 SHINGLE, BANDS = 5, 8
 
-# Notices of public licenses
-TEMPLATES = {
+# Notices and standard headers of public licenses
+NOTICES = {
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "cc-by-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-4.0-notice": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mit": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
+TEMPLATES = NOTICES | {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 
 
 def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
@@ -40,11 +55,11 @@ def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataF
     return spark.createDataFrame(sorted((texts or TEMPLATES).items()), "license string, text string")
 
 
-def shingles(ws: str | Column) -> Column:
-    """Distinct five-word shingles of an array of words; fewer words are one shingle, none has none."""
+def shingles(ws: str | Column, size: int | Column = SHINGLE) -> Column:
+    """Distinct shingles of `size` words of an array of words; fewer words are one shingle, none has none."""
     ws = F.col(ws) if isinstance(ws, str) else ws
-    n = F.size(ws)
-    each = F.transform(F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, SHINGLE), " "))
+    n, size = F.size(ws), F.lit(size) if isinstance(size, int) else size
+    each = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, size), " "))
     return F.array_distinct(F.when(n > 0, each).otherwise(F.array().cast("array<string>")))
 
 
@@ -58,15 +73,21 @@ def scan(docs: DataFrame, licenses: DataFrame, containment: float = 0.8, bands:
     # band j of a template: its shingle of least hash under seed j; equal ones fall together
     least = F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda j: F.array_min(F.transform("ts", lambda s: F.struct(F.xxhash64(j, s).alias("h"), s.alias("s"))))["s"])
     signs = cut(known.select("tid", "len", F.explode(F.array_distinct(least)).alias("shingle")))
+    sizes = [r[0] for r in known.select(F.least("len", F.lit(SHINGLE))).distinct().collect()] or [SHINGLE]  # 1 to SHINGLE
     src = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words().alias("ws"))
-    at = src.select("doc_id", "row", "ws", F.posexplode("ws").alias("pos", "w")).filter((F.col("pos") == 0) | (F.col("pos") <= F.size("ws") - SHINGLE))
-    met = at.select("doc_id", "row", "ws", "pos", F.array_join(F.slice("ws", F.col("pos") + 1, SHINGLE), " ").alias("shingle")).join(checked(signs), "shingle")
+    at = src.select("doc_id", "row", "ws", F.posexplode("ws").alias("pos", "w"))
+    if sizes == [SHINGLE]:
+        at = at.withColumn("k", F.lit(SHINGLE))
+    else:
+        at = at.withColumn("k", F.explode(F.array(*[F.lit(k) for k in sizes])))
+    at = at.filter(F.col("pos") + F.col("k") <= F.size("ws"))
+    met = at.select("doc_id", "row", "ws", "pos", F.array_join(F.slice("ws", F.col("pos") + 1, F.col("k")), " ").alias("shingle")).join(checked(signs), "shingle")
     # the windows of 2L words at multiples of L that hold the shingle
     last = F.floor(F.col("pos") / F.col("len")).cast("int")
     wins = met.withColumn("win", F.explode(F.array_distinct(F.array(last, F.greatest(last - 1, F.lit(0))))))
     wins = wins.select("doc_id", "row", "tid", "win", "len", F.slice("ws", F.col("win") * F.col("len") + 1, F.col("len") * 2).alias("window"))
     wins = wins.groupBy("row", "tid", "win", "len").agg(F.first("doc_id").alias("doc_id"), F.first("window").alias("window"))
-    full = wins.join(checked(known.select("tid", "license", "ts")), "tid").withColumn("c", F.size(F.array_intersect(shingles("window"), "ts")) / F.size("ts"))
+    full = wins.join(checked(known.select("tid", "license", "ts")), "tid").withColumn("c", F.size(F.array_intersect(shingles("window", F.least("len", F.lit(SHINGLE))), "ts")) / F.size("ts"))
     found = full.filter(F.col("c") >= containment)
     return found.groupBy("row", "tid", "license").agg(
         F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_windows"), F.max("c").alias("containment"), F.min(F.col("win") * F.col("len")).cast("bigint").alias("first_word")

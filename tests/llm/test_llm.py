@@ -259,6 +259,20 @@ def test_license(spark, odd, none):
     assert license_scan.scan(odd, known).count() == 0 and license_scan.scan(none, known).count() == 0
 
 
+def test_license_full_texts(spark):
+    texts = license_scan.TEMPLATES
+    held = ["gpl-2.0-text", "bsd-3-clause-text", "isc-text", "unlicense-text", "mpl-2.0-text", "lgpl-2.1-header", "agpl-3.0-header", "cc-by-4.0", "cc-by-sa-4.0-text", "cc0-1.0"]
+    df = spark.createDataFrame([(i, "x " * (7 * i) + texts[n] + " y" * 40) for i, n in enumerate(held)], "doc_id bigint, text string")
+    found = {(r.doc_id, r.license) for r in license_scan.scan(df, license_scan.templates(spark)).collect()}
+    assert found >= set(enumerate(held)) and (7, "cc-by-sa-4.0") not in found
+
+
+def test_license_short_template(spark):
+    known = license_scan.templates(spark, {"reserved": "All rights reserved.", "mit": "Released under the MIT License."})
+    df = spark.createDataFrame([(1, "x " * 10 + "All rights reserved. " + "y " * 10), (2, "all rights reserved"), (3, "all rights were reserved " * 5), (4, "z " * 9 + "released under the MIT License")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.license) for r in license_scan.scan(df, known).collect()) == [(1, "reserved"), (2, "reserved"), (4, "mit")]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
