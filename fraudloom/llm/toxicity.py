@@ -35,14 +35,16 @@ STEMS = range(3, 10)
 WINDOW, QUOTED = 6, 0.25
 MEMO = 4_000_000
 HITS = ["__exact", "__share", "__near"]
-EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+LETTER = re.compile(r"[^\W\d_]")
 QUOTES = (b'"', "“".encode(), "”".encode(), "«".encode(), "»".encode())
 REPORTING = {b"said", b"says", b"wrote", b"quote", b"quoted", b"quoting", b"called"}
 
 
 def bare(word: bytes) -> str:
     """A word without marks and digits at its ends; bytes are lower-cased already (A-Z)."""
-    return EDGE.sub("", word.decode("utf-8", "replace"))
+    w = word.decode("utf-8", "replace")
+    first, last = LETTER.search(w), LETTER.search(w[::-1])  # one pass each, however long the word
+    return w[first.start() : len(w) - last.start()] if first else ""
 
 
 class Lexicon:
@@ -190,7 +192,7 @@ def _hits(lexicon, names: list[str]):
                 dull = []
                 for x, i in zip(u.tolist(), at.tolist()):
                     if x not in hot:
-                        got = lex.meet(bare(raw[starts[i] : min(ends[i], starts[i] + 256)].tobytes().lower())) if ends[i] - starts[i] <= 256 else (0.0, 0.0)
+                        got = lex.meet(bare(raw[starts[i] : ends[i]].tobytes().lower()))
                         if got[0] or got[1]:
                             hot[x] = got
                         else:
@@ -207,7 +209,7 @@ def _hits(lexicon, names: list[str]):
                     for i, d in zip(where.tolist(), doc.tolist()):
                         e, m = hot[int(h[i])]
                         a, z = max(first[d], i - WINDOW), min(first[d + 1], i + WINDOW + 1)
-                        near_by = raw[starts[a] : ends[z - 1]][:4096].tobytes().lower()
+                        near_by = raw[starts[a] : ends[z - 1]].tobytes().lower()
                         f = QUOTED if any(q in near_by for q in QUOTES) or REPORTING & set(near_by.split()) else 1.0
                         exact[d] += f * e
                         near[d] += f * m

@@ -3,9 +3,11 @@ import collections
 import hashlib
 import math
 import re
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import compare, duck
 
@@ -252,6 +254,14 @@ def test_toxicity(spark, odd, none, labels):
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out) and toxicity.toxicity(none, labels).count() == 0
 
 
+def test_toxicity_long_words():
+    lex = toxicity.Lexicon({"moronic": 2.0}, {"idio": 3.0})
+    texts = ["moronic" + "!" * 400, "idi" + "o" * 400, "moronic plain", "x" * 5000 + ' he said "moronic" there', "y" * 5000 + " he said moronic there", "a" + "!" * 200_000 + "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    got = next(toxicity._hits(types.SimpleNamespace(value=lex), ["text"])(iter([batch]))).column(1).to_pylist()
+    assert got == pytest.approx([math.log1p(x) for x in (2, 3, 2, 2 * toxicity.QUOTED, 2 * toxicity.QUOTED, 0)])
+
+
 def test_license(spark, odd, none):
     known = license_scan.templates(spark)
     df = spark.createDataFrame([(1, "x " * 33 + "Released under the MIT License. " + LONG), (2, "Released under an MIT License"), (3, None)], "doc_id bigint, text string")
