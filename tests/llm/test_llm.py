@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import compare, duck
+from pyspark.sql import functions as F
 
 from fraudloom.llm import ann, decontaminate, jaccard_join, license_scan, mix_sources, quality_kn, queries, shard, suffix_tree_lm, token_counts, toxicity
 
@@ -243,6 +244,19 @@ def test_quality(spark, docs, odd, none, labels):
     assert quality_kn.quality_table(none, labels).count() == 0
 
 
+def test_quality_one_trusted_text(spark):
+    big = "/root/testdata/sf0.01"
+    d, lab = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    good = [(r.doc_id, r.text, r.lang) for r in d.join(quality_kn.trusted_ids(lab), d.doc_id == F.col("__trusted"), "left_semi").orderBy("doc_id").collect()]
+    few = {i for i, _, lang in good if lang == "en"}
+    few = set(sorted(few)[:40])
+    df = spark.createDataFrame([(i, t, "zz" if i in few else lang, "s", 1) for i, t, lang in good], SCHEMA)
+    trusted = [(i, 1, 0) for i, _, _ in good if i not in few or i == min(few)]
+    rows = quality_kn.quality_table(df, spark.createDataFrame(trusted, "doc_id bigint, quality int, toxic int")).filter("lang = 'zz'").collect()
+    assert len(rows) >= 40 and sum(r.keep for r in rows) >= 0.9 * len(rows)
+    assert all(r.keep for r in rows if r.doc_id == min(few))
+
+
 def test_toxicity(spark, odd, none, labels):
     big = "/root/testdata/sf0.01"
     d, lab = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
