@@ -33,3 +33,18 @@ def id_bytes(name: str = "doc_id") -> Column:
 def crc_remainder(mod: int) -> Column:
     """crc32 of the id as text, modulo `mod`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def join_counted(rows: DataFrame, side: DataFrame, key: str, count: str) -> DataFrame:
+    """`rows` joined with `side`, which has one row per `key` and in `count` how many rows carry it.
+
+    Keys with over a 2000th of all rows are at most 2000 and are broadcast, so that no task of
+    the shuffle join meets one of them.
+    """
+    total = side.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    often = F.col(count) > max(1000, total // 2000)
+    hot = side.filter(often).drop(count)
+    if not hot.limit(1).count():
+        return rows.join(checked(side.drop(count)), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(checked(side.filter(~often).drop(count)), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, jaccard_join, license_scan, mix_sources, quality_kn, shard, suffix_tree_lm, token_counts, toxicity
+from . import ann, decontaminate, fill_in_middle, importance, jaccard_join, license_scan, mix_sources, quality_kn, shard, simhash, suffix_tree_lm, token_counts, toxicity
 from .common import bounded_batches
 
 
@@ -52,5 +52,23 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources.mix_table(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_cross_polytope, op4_suffix_tree_lm, op5_toxicity, op6_quality_kn, op7_jaccard_join, op8_license_scan, op9_shard, op10_mix_sources)}
-ORACLES = {"op1_decontaminate": decontaminate.SQL, "op8_license_scan": license_scan.SQL}
+def op11_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"), 4, 4)
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.digests(_table(spark, folder, "documents"))
+
+
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_token_counts, op3_cross_polytope, op4_suffix_tree_lm, op5_toxicity, op6_quality_kn, op7_jaccard_join, op8_license_scan, op9_shard, op10_mix_sources,
+        op11_simhash_pivots, op12_fill_in_middle, op13_importance,
+    )
+}
+ORACLES = {"op1_decontaminate": decontaminate.SQL, "op8_license_scan": license_scan.SQL, "op12_fill_in_middle": fill_in_middle.SQL, "op13_importance": importance.SQL}
