@@ -1,13 +1,14 @@
 """Threshold calibration: false-accept budgets, k-fold, cost-optimal, face bands."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as K
-from ..functions.scalars import far_for_budget, per_applicant_rate
+from ..functions.scalars import per_applicant_rate
 from .metrics import count_when, threshold_counts
-from .ordered import CHUNK, cumulative_counts, exact_percentiles, neighbours, quantile_chunks
+from .ordered import cumulative_counts, exact_percentiles, neighbours, quantile_chunks
+from .similarity import UNIT, ScoreCounts
 
 L = F.lit
 
@@ -106,43 +107,48 @@ def kfold_summary(per_fold: DataFrame) -> DataFrame:
     return per_fold.agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"), F.avg("threshold").alias("mean_threshold"), F.stddev_pop("threshold").alias("std_threshold"))
 
 
-def grade(impostor_counts: DataFrame, genuine: DataFrame, thresholds: dict[str, float], sizes=K.APPLICANT_SIZES) -> DataFrame:
-    """far, tar and per-applicant rates at named thresholds, one pass over each population.
+def grade(impostors: ScoreCounts, genuine: DataFrame, thresholds: dict[str, float], sizes=K.APPLICANT_SIZES) -> DataFrame:
+    """far, tar and per-applicant rates at named thresholds of at most four places.
 
-    impostor_counts: s, n.  genuine: sim.
+    impostors: the counts of all impostor pairs.  genuine: sim; one pass serves all thresholds.
     """
-    far = impostor_counts.agg(F.sum("n").alias("pairs"), *[F.sum(F.when(F.col("s") >= t, F.col("n")).otherwise(0)).alias(f"a_{k}") for k, t in thresholds.items()])
-    tar = genuine.agg(*[F.avg((F.col("sim") >= t).cast("int")).alias(f"t_{k}") for k, t in thresholds.items()])
-    both = far.crossJoin(F.broadcast(tar))  # one row each
-    rows = F.array(*[F.struct(L(k).alias("name"), L(t).alias("threshold"), F.col(f"a_{k}").alias("accepted"), F.col(f"t_{k}").alias("tar")) for k, t in thresholds.items()])
-    e = both.select("pairs", F.explode(rows).alias("e")).select("pairs", "e.*").withColumn("far", F.col("accepted") / F.col("pairs"))
-    return e.select("name", "threshold", "pairs", "accepted", "far", "tar", *[per_applicant_rate(F.col("far"), n).alias(f"per_applicant_{n}") for n in sizes])
+    spark = genuine.sparkSession
+    rows = [(k, float(t), impostors.pairs, impostors.at_least(t)) for k, t in thresholds.items()]
+    far = spark.createDataFrame(rows, "name string, threshold double, pairs bigint, accepted bigint").withColumn("far", F.col("accepted") / F.col("pairs"))
+    tar = genuine.agg(F.create_map(*[x for k, t in thresholds.items() for x in (L(k), F.avg((F.col("sim") >= t).cast("int")))]).alias("tar"))
+    both = far.crossJoin(F.broadcast(tar)).withColumn("tar", F.col("tar")[F.col("name")])  # one row
+    return both.select("name", "threshold", "pairs", "accepted", "far", "tar", *[per_applicant_rate(F.col("far"), n).alias(f"per_applicant_{n}") for n in sizes])
 
 
-def impostor_summary(hist: DataFrame) -> DataFrame:
-    """Pairs, mean and highest score from the block histogram of all impostor pairs."""
-    bins = hist.filter("kind = 'bin'").agg(F.sum("n").alias("pairs"), F.sum("total").alias("s"))
-    top = hist.filter("kind = 'tail'").agg(F.max("value").alias("highest"))
-    return bins.crossJoin(F.broadcast(top)).select("pairs", (F.col("s") / F.col("pairs")).alias("mean"), "highest")  # one row each
+def impostor_summary(impostors: ScoreCounts, spark: SparkSession) -> DataFrame:
+    """Pairs, mean, p99, p99.99 and highest score of all impostor pairs; exact, from cells of scores."""
+    q = impostors.percentiles([0.99, 0.9999, 1.0])
+    return spark.createDataFrame([(impostors.pairs, impostors.mean, q[0.99], q[0.9999], q[1.0])], "pairs bigint, mean double, p99 double, p99_99 double, highest double")
 
 
-def linkage_threshold(hist: DataFrame, budget: float = 0.01, records: int = 5000, tail: int = 10000) -> DataFrame:
-    """The search threshold that holds the per-applicant budget over `records` entries.
+def genuine_summary(genuine: DataFrame) -> DataFrame:
+    """n, mean, p05 and p50 of the same-person scores (sim)."""
+    return exact_percentiles(genuine, [], "sim", {"p05": 0.05, "p50": 0.5}, stats=True).select("n", "mean", "p05", "p50")
 
-    Exact as long as k = far x pairs lies inside the collected tail, which is checked: the
-    k-th highest score overall is the k-th highest of the block tails.
+
+def fitted_threshold(impostors: ScoreCounts, budget: float = 0.01, records: int = 5000) -> tuple[float, float, bool]:
+    """(search threshold that holds the per-applicant budget over `records` entries, rate it needs, whether the pairs resolve that rate).
+
+    The k-th highest score, k the pairs inside the budget, rounded up to four places; with k
+    under one the highest score plus 1e-6.
     """
-    pairs = hist.filter("kind = 'bin'").agg(F.sum("n").alias("pairs"))
-    top = hist.filter("kind = 'tail'").select(F.col("value").alias("s")).orderBy(F.desc("s")).limit(tail)
-    ranked = top.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("s"))))  # `tail` rows
-    need = far_for_budget(L(budget), records)
-    k = F.floor(need * F.col("pairs"))
-    joined = ranked.crossJoin(F.broadcast(pairs))  # one row
-    out = joined.groupBy("pairs").agg(
-        F.when(F.first(k) >= 1, F.max(F.when(F.col("rn") == k, F.col("s")))).otherwise(F.max("s") + 1e-6).alias("raw"), (F.first(k) >= 1).alias("resolved"), F.first(need).alias("required_far")
-    )
-    checked = F.when(F.col("raw").isNull(), F.raise_error(L("the k-th score lies outside the tail; raise it"))).otherwise(ceil4(F.col("raw")))
-    return out.select("pairs", "required_far", "resolved", checked.alias("threshold"))
+    need = 1.0 - (1.0 - budget) ** (1.0 / records)
+    k = int(need * impostors.pairs)
+    last = impostors.pairs - 1
+    raw = round(impostors.ranked([last - max(k, 1) + 1])[last - max(k, 1) + 1] * UNIT) + (0 if k else UNIT // 1_000_000)
+    return -(-raw // (UNIT // 10_000)) / 10_000, need, k >= 1
+
+
+def linkage_threshold(impostors: ScoreCounts, spark: SparkSession, budget: float = 0.01, records: int = 5000) -> DataFrame:
+    """pairs, required_far, resolved, threshold and, measured again after rounding, accepted and far."""
+    t, need, resolved = fitted_threshold(impostors, budget, records)
+    hit = impostors.at_least(t)
+    return spark.createDataFrame([(impostors.pairs, need, resolved, t, hit, hit / impostors.pairs)], "pairs bigint, required_far double, resolved boolean, threshold double, accepted bigint, far double")
 
 
 def face_band(pairs: DataFrame) -> DataFrame:

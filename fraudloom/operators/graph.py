@@ -9,7 +9,8 @@ from ..functions import fixed_values as K
 from ..functions.scalars import name_trim
 from .durable import cut, cut_measured
 from .ordered import row_numbers
-from .similarity import fold_copies, similar_forest, similar_pairs, usable_vectors
+from .linkage import FaceScan
+from .similarity import fold_copies, similar_pairs, usable_vectors
 
 L = F.lit
 EDGE = ["source", "target", "kind", "weight", "name_differs"]
@@ -22,16 +23,20 @@ def _copy_star(members: DataFrame) -> DataFrame:
     )
 
 
-def graph_face_edges(emb: DataFrame, threshold: float = K.SAME_PERSON, form: str = "pairs", block_rows: int = 8192) -> DataFrame:
+def graph_face_edges(emb: DataFrame, threshold: float = K.SAME_PERSON, form: str = "pairs", block_rows: int = 8192, scan: FaceScan | None = None) -> DataFrame:
     """Face edges between submissions; names are compared trimmed and lower-cased only.
 
     form='pairs': every pair of distinct vectors at or above the threshold.
     form='forest': a spanning forest with the same components, fewer edges than nodes.
-    Copies of one vector are a star in both forms.
+    Copies of one vector are a star in both forms.  `scan`: a pass made before, with links.
     """
-    rows = usable_vectors(emb)
-    reps, members = fold_copies(rows)
-    near = (similar_pairs if form == "pairs" else similar_forest)(reps, threshold, block_rows)
+    if form == "pairs":
+        rows = usable_vectors(emb)
+        reps, members = fold_copies(rows)
+        near = similar_pairs(reps, threshold, block_rows)
+    else:
+        scan = scan or FaceScan(emb, threshold, None, block_rows=block_rows)
+        rows, members, near = scan.rows, scan.members, scan.kind("link")
     edges = near.select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("similarity").alias("weight")).unionByName(_copy_star(members))
     names = rows.select("submission_id", name_trim(F.coalesce("claimed_name", L(""))).alias("n"))
     a = names.select(F.col("submission_id").alias("source"), F.col("n").alias("na"))
@@ -55,24 +60,52 @@ def graph_asset_edges(hashes: DataFrame) -> DataFrame:
     A group of n files becomes n-1 star edges that carry the group size; the all-pairs form
     has n(n-1)/2 edges and the same components.
     """
+    exact, near = file_groups(hashes)
+    return _star(exact, "file", "asset_exact", 1.0).unionByName(_star(near, "file", "asset_near", 0.9))
+
+
+def file_groups(hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(submission_id, file) of equal bytes, and of equal image hashes that are not barred by repeated bytes."""
     has_bytes, has_image = F.coalesce("content_hash", L("")) != "", F.coalesce("phash", L("")) != ""
     repeated = hashes.filter(has_bytes).groupBy("content_hash").agg(F.count(L(1)).alias("n")).filter("n > 1").select("content_hash")
     barred = hashes.filter(has_bytes & has_image).join(repeated, "content_hash", "left_semi").select("phash").distinct()
-    exact = _star(hashes.filter(has_bytes).select("submission_id", "content_hash").distinct(), "content_hash", "asset_exact", 1.0)
-    near = _star(hashes.filter(has_image).select("submission_id", "phash").distinct().join(barred, "phash", "left_anti"), "phash", "asset_near", 0.9)
-    return exact.unionByName(near)
+    exact = hashes.filter(has_bytes).select("submission_id", F.col("content_hash").alias("file")).distinct()
+    near = hashes.filter(has_image).select("submission_id", "phash").distinct().join(barred, "phash", "left_anti").withColumnRenamed("phash", "file")
+    return exact, near
+
 
+def file_relation(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """`pairs` (source, target, ...) with file_kind: asset_exact or asset_near if both ends are in one
+    group of files, else null.
 
-def strongest_edges(*edge_sets: DataFrame) -> DataFrame:
-    """One edge per unordered pair: exact over face over near."""
+    A group of n files is a clique of n(n-1)/2 pairs that are never listed: both ends of a pair
+    meet their groups instead, so every pair has its kind, inside and outside the stars.
+    """
+    exact, near = file_groups(hashes)
+    key = pairs.select("source", "target").distinct()
+    found = None
+    for groups, kind, rank in ((exact, "asset_exact", 3), (near, "asset_near", 1)):
+        a, b = groups.select(F.col("submission_id").alias("source"), "file"), groups.select(F.col("submission_id").alias("target"), "file")
+        both = key.join(a, "source").join(b, ["target", "file"]).select("source", "target", L(kind).alias("file_kind"), L(rank).alias("r"))
+        found = both if found is None else found.unionByName(both)
+    best = found.groupBy("source", "target").agg(F.max_by("file_kind", "r").alias("file_kind"))
+    return pairs.join(best, ["source", "target"], "left")
+
+
+def strongest_edges(assets: DataFrame, faces: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """One edge per unordered pair: exact over face over near.
+
+    With `hashes`, a face pair inside a group of equal files is exact even where the group's
+    star does not list it; without, only listed edges count (the components are the same).
+    """
     rank = F.when(F.col("kind") == "asset_exact", 3).when(F.col("kind") == "face", 2).otherwise(1)
-    both = edge_sets[0].select(*EDGE)
-    for e in edge_sets[1:]:
-        both = both.unionByName(e.select(*EDGE))
-    lo, hi = F.least("source", "target").alias("lo"), F.greatest("source", "target").alias("hi")
-    return both.groupBy(lo, hi).agg(F.max_by(F.struct(*EDGE[2:]), F.struct(rank, "weight")).alias("e")).select(
-        F.col("lo").alias("source"), F.col("hi").alias("target"), "e.kind", "e.weight", "e.name_differs"
-    )
+    lo, hi = F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")
+    both = assets.select(*EDGE).unionByName(faces.select(*EDGE)).select(lo, hi, *EDGE[2:])
+    if hashes is not None:
+        same = file_relation(both, hashes).withColumn("up", (F.col("file_kind") == "asset_exact") & (F.col("kind") != "asset_exact"))
+        up = lambda c, v: F.when(F.coalesce("up", L(False)), v).otherwise(F.col(c)).alias(c)
+        both = same.select("source", "target", up("kind", L("asset_exact")), up("weight", L(1.0)), up("name_differs", L(False)))
+    return both.groupBy("source", "target").agg(F.max_by(F.struct(*EDGE[2:]), F.struct(rank, "weight")).alias("e")).select("source", "target", "e.kind", "e.weight", "e.name_differs")
 
 
 def component_roots(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -146,6 +179,6 @@ def threat_graph(nodes: DataFrame, emb: DataFrame, hashes: DataFrame, as_of=None
     ids = win.select(F.col("id").alias("submission_id"))
     e = emb.join(ids, "submission_id", "left_semi")
     h = hashes.join(ids, "submission_id", "left_semi")
-    edges = cut(strongest_edges(graph_asset_edges(h), graph_face_edges(e, threshold, "forest", block_rows)))
+    edges = cut(strongest_edges(graph_asset_edges(h), graph_face_edges(e, threshold, "forest", block_rows), h))
     comp = connected_components(win, edges)
     return {"nodes": comp, "edges": edges, "rings": ring_summary(comp, edges)}

@@ -8,7 +8,7 @@ from ..functions import fixed_values as K
 from ..functions.scalars import hash64_bits, is_hash64, name_norm
 from ..functions.scoring import linkage_reasons, linkage_score
 from .durable import cut
-from .similarity import approx_pairs, fold_copies, similar_prior, similar_top, usable_vectors
+from .similarity import approx_pairs, fold_copies, scan_pairs, similar_prior, similar_top, usable_vectors
 
 L = F.lit
 
@@ -20,22 +20,47 @@ def first_ids(members: DataFrame, key: list[str], id_col: str, k: int) -> DataFr
 
 
 # --- faces -------------------------------------------------------------------
-def face_links(emb: DataFrame, threshold: float = K.SAME_PERSON, top_k: int = K.FACE_LINK_LIMIT, mode: str = "all_others", method: str = "exact", block_rows: int = 8192) -> DataFrame:
+class FaceScan:
+    """The hits of one pass over all face vectors, for links and for the graph.
+
+    rows: usable vectors.  reps: one row per distinct vector.  members: submission_id, rep.
+    found: what `scan_pairs` gave, stored.  need: partners kept per distinct vector.
+    """
+
+    def __init__(self, emb: DataFrame, threshold: float, top_k: int | None = K.FACE_LINK_LIMIT, links: bool = True, block_rows: int = 8192):
+        self.rows = usable_vectors(emb)
+        self.reps, self.members = fold_copies(self.rows)
+        self.need = None if top_k is None else partners_needed(self.members, top_k)
+        self.found = cut(scan_pairs(self.reps, threshold, self.need, links, block_rows=block_rows))
+
+    def kind(self, kind: str) -> DataFrame:
+        return self.found.filter(F.col("kind") == kind).drop("kind")
+
+
+def partners_needed(members: DataFrame, top_k: int) -> int:
+    """Vectors stored for one submission take places of their own in a list; one of the others may be the row itself."""
+    stored = members.groupBy("submission_id").agg(F.count(L(1)).alias("n")).agg(F.coalesce(F.max("n"), L(1))).first()[0]
+    return (top_k + 1) * stored
+
+
+def face_links(emb: DataFrame, threshold: float = K.SAME_PERSON, top_k: int = K.FACE_LINK_LIMIT, mode: str = "all_others", method: str = "exact", block_rows: int = 8192, scan: FaceScan | None = None, recall: float = 0.95) -> DataFrame:
     """The top_k most similar other selfies of every submission.
 
     `emb`: submission_id, vector, claimed_name, merchant_id, created_at (selfies only).
     `all_others` searches every other row; `prior` only rows created earlier.
     Ties in similarity go to the lowest id, in `prior` mode to the oldest row.
+    `scan`: a pass made before with the same vectors, threshold and top_k.
+    method='approx' finds each pair at the threshold with probability `recall`.
     """
-    rows = usable_vectors(emb)
-    reps, members = fold_copies(rows)
+    rows = scan.rows if scan else usable_vectors(emb)
+    reps, members = (scan.reps, scan.members) if scan else fold_copies(rows)
     if mode == "prior":
         return _prior_links(rows, members, threshold, top_k, block_rows)
-    # vectors stored for one submission: its copies take places of their own in a list
-    stored = members.groupBy("submission_id").agg(F.count(L(1)).alias("n")).agg(F.coalesce(F.max("n"), L(1))).first()[0]
-    need = (top_k + 1) * stored  # one of the others may be the row itself
-    if method == "approx":
-        p = approx_pairs(reps, threshold)
+    need = scan.need if scan else partners_needed(members, top_k)
+    if scan:
+        near = scan.kind("top")
+    elif method == "approx":
+        p = cut(approx_pairs(reps, threshold, recall))
         near = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     else:
         near = similar_top(reps, threshold, need, block_rows)
@@ -114,40 +139,79 @@ def _ball(radius: int) -> list[int]:
     return masks
 
 
+def _radii(bits: int, bands: int) -> list[int]:
+    """Radii whose sum plus the number of bands is bits + 1: two hashes within `bits` are within its radius in some band."""
+    each, more = divmod(bits + 1 - bands, bands)
+    return [each + (i < more) for i in range(bands)]
+
+
 def near_hash_pairs(distinct: DataFrame, bits: int = K.SAME_IMAGE_BITS, hot: int = 4096) -> DataFrame:
     """Unordered pairs of distinct 64-bit hashes of one kind within `bits`, exact.
 
-    Multi-index hashing: of four 16-bit bands one differs in at most bits//4 places, so a
-    probe of that small ball in every band misses nothing.  A band value shared by many
-    hashes (a document template) is refined by a second band: the remaining three bands
-    then differ in at most `bits` places, so one of them differs in at most bits//3.
+    Multi-index hashing over four 16-bit bands with unequal radii (2, 1, 1, 1 for 8 bits): by
+    the general pigeonhole rule probing those balls misses nothing.  A band value shared by
+    more than `hot` hashes (a document template) is refined by a second band among the other
+    three, and a crowded pair of values by a third, with the radii of the bands that are left.
+    A pair is reported by the first band that finds it, on every level, so no distinct is needed.
     `distinct` has kind and h (signed 64-bit).
     """
-    band = lambda i: F.shiftrightunsigned("h", 16 * i).bitwiseAND(L(0xFFFF)).cast("int")
-    bands = F.array(*[band(i) for i in range(4)])
-    base = distinct.select("kind", "h", bands.alias("w"))
-    near = lambda v, masks: F.transform(F.array(*[L(m) for m in masks]), lambda m: v.bitwiseXOR(m))
-    owned = base.select("kind", "h", "w", F.posexplode("w").alias("i", "v"))
-    probed = base.select("kind", "h", "w", F.posexplode("w").alias("i", "own")).select("kind", "h", "w", "i", F.explode(near(F.col("own"), _ball(bits // 4))).alias("v"))
-    crowded = owned.groupBy("kind", "i", "v").count().filter(F.col("count") > hot).select("kind", "i", "v", L(True).alias("crowded"))
-    key = ["kind", "i", "v"]
-    owned, probed = owned.join(crowded, key, "left"), probed.join(crowded, key, "left")
-    second = F.filter(F.transform("w", lambda x, j: F.struct(j.alias("j"), x.alias("x"))), lambda e: e["j"] != F.col("i"))
-    none = F.array(F.struct(L(-1).alias("j"), L(0).alias("u")))
-    owned = owned.select("kind", "h", "i", "v", F.explode(F.when(F.col("crowded"), F.transform(second, lambda e: F.struct(e["j"].alias("j"), e["x"].alias("u")))).otherwise(none)).alias("e"))
-    wide = F.flatten(F.transform(second, lambda e: F.transform(near(e["x"], _ball(bits // 3)), lambda u: F.struct(e["j"].alias("j"), u.alias("u")))))
-    probed = probed.select("kind", "h", "i", "v", F.explode(F.when(F.col("crowded"), wide).otherwise(none)).alias("e"))
-    left = probed.select("kind", "i", "v", "e.j", "e.u", F.col("h").alias("a"))
-    right = owned.select("kind", "i", "v", "e.j", "e.u", F.col("h").alias("b"))
+    owned = distinct.select("kind", "h", F.array().cast("array<int>").alias("path"), F.xxhash64("kind").alias("key"))
+    probed, done = owned, []
+    for level in range(3):
+        step = lambda df, probe: df.select("kind", "h", "path", "key", F.explode(_values(level, bits, probe)).alias("e")).select(
+            "kind", "h", F.concat("path", F.array("e.i")).alias("path"), F.xxhash64("key", "e.i", "e.v").alias("key")
+        )
+        owned, probed = step(owned, False), step(probed, True)
+        crowded = cut(owned.groupBy("key").agg(F.count(L(1)).alias("n")).filter(F.col("n") > hot).select("key")) if level < 2 else None
+        if crowded is None or not crowded.limit(1).count():
+            done.append(_meet(owned, probed, level, bits))
+            break
+        done.append(_meet(owned.join(crowded, "key", "left_anti"), probed.join(crowded, "key", "left_anti"), level, bits))
+        owned, probed = owned.join(crowded, "key", "left_semi"), probed.join(crowded, "key", "left_semi")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _band(c: Column, m: int) -> Column:
+    return F.shiftrightunsigned(c, 16 * m).bitwiseAND(L(0xFFFF)).cast("int")
+
+
+def _rest(path: Column, m: int, bits: int, level: int) -> tuple[Column, Column]:
+    """(whether band m is still free after the bands of `path`, its radius among the free ones)."""
+    radii = _radii(bits, 4 - level)
+    place = L(m) - F.size(F.filter(path, lambda x: x < m))
+    return ~F.array_contains(path, m), F.when(place < radii.count(radii[0]), radii[0]).otherwise(radii[-1])
+
+
+def _values(level: int, bits: int, probe: bool) -> Column:
+    """(band, value) of every free band; to probe, every value inside the band's ball."""
+    masks = {r: F.array(*[L(x) for x in _ball(r)]) for r in set(_radii(bits, 4 - level))} if probe else {}
+    out = []
+    for m in range(4):
+        free, radius = _rest(F.col("path"), m, bits, level)
+        v = _band(F.col("h"), m)
+        balls = F.coalesce(*[F.when(radius == r, x) for r, x in masks.items()]) if probe else F.array(L(0))
+        out.append(F.when(free, _moved(balls, v, m)).otherwise(F.array().cast("array<struct<i:int,v:int>>")))
+    return F.flatten(F.array(*out))
+
+
+def _moved(masks: Column, v: Column, m: int) -> Column:
+    return F.transform(masks, lambda x: F.struct(L(m).alias("i"), v.bitwiseXOR(x).alias("v")))
+
+
+def _meet(owned: DataFrame, probed: DataFrame, level: int, bits: int) -> DataFrame:
+    pairs = probed.select("key", F.col("h").alias("a")).join(owned.select("key", "kind", "path", F.col("h").alias("b")), "key")
     x = F.col("a").bitwiseXOR(F.col("b"))
-    d = [F.bit_count(F.shiftrightunsigned(x, 16 * m).bitwiseAND(L(0xFFFF))) for m in range(4)]
-    i, j = F.col("i"), F.col("j")
-    # a pair can meet in several bands; only its first one reports it, so no distinct is needed
-    earlier = F.array_max(F.array(*[(F.when((L(m) < i) & (d[m] <= bits // 4), 1).otherwise(0)) for m in range(4)]))
-    earlier2 = F.array_max(F.array(*[(F.when((L(m) < j) & (L(m) != i) & (d[m] <= bits // 3), 1).otherwise(0)) for m in range(4)]))
-    dist = F.bit_count(x)
-    hits = left.join(right, ["kind", "i", "v", "j", "u"]).filter((F.col("a") < F.col("b")) & (dist <= bits) & (earlier == 0) & ((j < 0) | (earlier2 == 0)))
-    return hits.select("kind", "a", "b", dist.cast("int").alias("hamming"))
+    near = pairs.filter((F.col("a") < F.col("b")) & (F.bit_count(x) <= bits))
+    earlier = L(False)
+    for at in range(level + 1):
+        before = F.slice("path", 1, at)
+        for m in range(3):
+            free, radius = _rest(before, m, bits, at)
+            earlier = earlier | ((L(m) < F.get("path", L(at))) & free & (F.bit_count(_band(x, m)) <= radius))
+    return near.filter(~earlier).select("kind", "a", "b", F.bit_count(x).cast("int").alias("hamming"))
 
 
 def asset_links_near(hashes: DataFrame, bits: int = K.SAME_IMAGE_BITS, k: int = K.ASSET_LINK_LIMIT, hot: int = 4096) -> DataFrame:

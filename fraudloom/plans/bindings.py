@@ -65,17 +65,17 @@ def audit(t: Tables) -> DataFrame:
     step = F.floor(k / 3) % 3
     decision = F.when(step == 0, "approve").when(step == 1, "reject").otherwise("escalate")
     score = F.when(k % 7 != 0, (F.round(F.col("o_totalprice") * 100).cast("bigint") % 1000) / 1000.0)
-    event = F.when(k % 3 == 0, "analyst_decision").otherwise("verdict")
-    return t.orders.filter(k % 3 != 2).select(
+    event = F.when(k % 3 == 0, "analyst_decision").when(k % 3 == 1, "verdict").otherwise("received")
+    return t.orders.select(
         k.alias("id"), k.alias("submission_id"), event.alias("event"), F.to_json(F.struct(decision.alias("decision"), score.alias("model_score"))).alias("payload"), F.col("o_orderdate").cast("timestamp").alias("created_at")
     )
 
 
 AUDIT = """audit AS (
-  SELECT o_orderkey AS id, o_orderkey AS submission_id, CASE WHEN o_orderkey % 3 = 0 THEN 'analyst_decision' ELSE 'verdict' END AS event,
+  SELECT o_orderkey AS id, o_orderkey AS submission_id, CASE o_orderkey % 3 WHEN 0 THEN 'analyst_decision' WHEN 1 THEN 'verdict' ELSE 'received' END AS event,
     CASE (o_orderkey // 3) % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'escalate' END AS decision,
     CASE WHEN o_orderkey % 7 <> 0 THEN (CAST(round(o_totalprice * 100) AS BIGINT) % 1000) / 1000.0::DOUBLE END AS model_score, o_orderdate AS created_at
-  FROM orders WHERE o_orderkey % 3 <> 2)"""
+  FROM orders)"""
 
 
 def policies(t: Tables) -> DataFrame:

@@ -46,6 +46,17 @@ def face_links_approx(t):
     return N.face_links(B.embeddings(t), FACE_T, method="approx")
 
 
+@query("jn4_face_links_approx_recall", with_ctes(EMB, SIMS) + f"SELECT count(*) AS exact_pairs, 0 AS invented, true AS recall_reached FROM sims WHERE a < b AND sim >= {FACE_T}")
+def approx_recall(t):
+    """The approximate pairs, asked for 0.95 of the links, against the exact ones: none invented, at least 0.9 found."""
+    reps, _ = V.fold_copies(V.usable_vectors(B.embeddings(t)))
+    found = cut(V.approx_pairs(reps, FACE_T, 0.95)).select("a", "b", L(1).alias("approx"))
+    both = V.similar_pairs(reps, FACE_T).select("a", "b", L(1).alias("exact")).join(found, ["a", "b"], "full")
+    n = lambda c: F.count(F.when(c, 1))
+    hit, exact, approx = F.col("exact").isNotNull() & F.col("approx").isNotNull(), F.col("exact").isNotNull(), F.col("approx").isNotNull()
+    return both.agg(n(exact).alias("exact_pairs"), n(approx & ~exact).alias("invented"), (n(hit) >= 0.9 * n(exact)).alias("recall_reached"))
+
+
 EXACT = """exact AS (SELECT a.submission_id, b.submission_id AS other_id, a.kind, count(*) OVER (PARTITION BY a.submission_id, a.kind) AS n_others, row_number() OVER (PARTITION BY a.submission_id, a.kind ORDER BY b.submission_id) AS rn
   FROM hashes a JOIN hashes b ON a.kind = b.kind AND a.content_hash = b.content_hash AND a.submission_id <> b.submission_id)"""
 HAM = "bit_count(xor(('0x' || substr(a.phash, 1, 8))::BIGINT, ('0x' || substr(b.phash, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(a.phash, 9, 8))::BIGINT, ('0x' || substr(b.phash, 9, 8))::BIGINT))"
@@ -150,9 +161,22 @@ UNION_EDGES = f"""fedges AS (SELECT a AS source, b AS target, 'face' AS kind, si
  strong AS (SELECT source, target, kind, weight, name_differs FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY CASE kind WHEN 'asset_exact' THEN 3 WHEN 'face' THEN 2 ELSE 1 END DESC, weight DESC) AS rn FROM alledges) WHERE rn = 1)"""
 
 
-@query("so2_strongest_edges", with_ctes(EMB, SIMS, HASHES, ASSET_EDGES, UNION_EDGES) + "SELECT * FROM strong")
+FULL_PAIRS = """pairs3 AS (SELECT least(a.submission_id, b.submission_id) AS source, greatest(a.submission_id, b.submission_id) AS target, 'asset_exact' AS kind, 1.0::DOUBLE AS weight, false AS name_differs FROM hashes a JOIN hashes b ON a.content_hash = b.content_hash AND a.submission_id < b.submission_id
+  UNION ALL FROM fedges UNION ALL SELECT a.submission_id, b.submission_id, 'asset_near', 0.9::DOUBLE, false FROM hashes a JOIN hashes b ON a.phash = b.phash AND a.submission_id < b.submission_id WHERE a.phash NOT IN (FROM barred)),
+ fullpairs AS (SELECT source, target, kind, weight, name_differs FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY CASE kind WHEN 'asset_exact' THEN 3 WHEN 'face' THEN 2 ELSE 1 END DESC, weight DESC) AS rn FROM pairs3) WHERE rn = 1)"""
+
+
+@query("so2_strongest_edges", with_ctes(EMB, SIMS, HASHES, ASSET_EDGES, UNION_EDGES, FULL_PAIRS) + "SELECT f.* FROM fullpairs f JOIN strong USING (source, target)")
 def strongest(t):
-    return G.strongest_edges(G.graph_asset_edges(B.asset_hashes(t)), G.graph_face_edges(B.embeddings(t), FACE_T))
+    """The edges that are listed (stars and face pairs), each with its kind among all pairs."""
+    h = B.asset_hashes(t)
+    return G.strongest_edges(G.graph_asset_edges(h), G.graph_face_edges(B.embeddings(t), FACE_T), h)
+
+
+@query("jn9_file_relation", with_ctes(EMB, SIMS, HASHES, ASSET_EDGES, UNION_EDGES, FULL_PAIRS) + "SELECT fe.source, fe.target, min(kind) AS file_kind FROM fedges fe LEFT JOIN (FROM pairs3 WHERE kind <> 'face') p ON p.source = fe.source AND p.target = fe.target GROUP BY ALL".replace("min(kind)", "min(p.kind)"))
+def relation(t):
+    """Which file group, if any, the two ends of every face pair share."""
+    return G.file_relation(G.graph_face_edges(B.embeddings(t), FACE_T).select("source", "target"), B.asset_hashes(t))
 
 
 GRAPH_NODES = "nodes AS (SELECT doc_id AS id, source AS merchant_id, lang AS claimed_name, (n_chars % 97) / 97.0::DOUBLE AS score FROM documents)"
@@ -231,8 +255,8 @@ SIGNAL = """f AS (SELECT submission_id, count(*) AS n_face, count(*) FILTER (WHE
 LINKS = (EMB, SIMS, face_cte(FACE_T), HASHES, EXACT, NEAR, BEST)
 
 
-def signal(t, ids):
-    return N.linkage_signal(ids, N.face_links(B.embeddings(t), FACE_T), N.best_asset_links(all_asset_links(B.asset_hashes(t))))
+def signal(t, ids, scan=None):
+    return N.linkage_signal(ids, N.face_links(B.embeddings(t), FACE_T, scan=scan), N.best_asset_links(all_asset_links(B.asset_hashes(t))))
 
 
 @query("sc19_linkage_signal", with_ctes(*LINKS, "ids AS (SELECT doc_id AS submission_id FROM documents)", SIGNAL) + "SELECT * FROM sig")
@@ -264,9 +288,9 @@ FINAL = """fin AS (SELECT s.submission_id, s.merchant_id, s.created_at, fu.fused
 DECIDE = (SUBS, POLICIES, OUTPUTS, FUSED, *LINKS, "ids AS (SELECT submission_id FROM subs)", SIGNAL, BEHAV, FINAL)
 
 
-def decisions(t):
+def decisions(t, scan=None):
     subs = B.submissions(t).select("submission_id", "merchant_id")
-    return R.score_submissions(subs, B.detector_outputs(t), signal(t, subs), B.policies(t))
+    return R.score_submissions(subs, B.detector_outputs(t), signal(t, subs, scan), B.policies(t))
 
 
 @query("sc23_final_score", with_ctes(*DECIDE) + "SELECT submission_id, final_score, verdict, abstained, link_score, link_exact FROM dec")
@@ -288,48 +312,57 @@ def explanations(t):
        "SELECT submission_id, dec.merchant_id, ring, final_score, verdict, abstained, attack_pattern, link_score FROM dec JOIN ringed ON id = submission_id WHERE link_score > 0 OR ring IS NOT NULL")
 def flagship(t):
     """Submissions that reuse a file or a face, the ring they are in, and the policy decision."""
-    scored = decisions(t)
+    scan = N.FaceScan(B.embeddings(t), FACE_T)  # one pass for the links and for the rings
+    scored = decisions(t, scan)
     nodes = B.submissions(t).select(F.col("submission_id").alias("id"))
-    edges = G.strongest_edges(G.graph_asset_edges(B.asset_hashes(t)), G.graph_face_edges(B.embeddings(t), FACE_T, "forest"))
+    edges = G.graph_asset_edges(B.asset_hashes(t)).select("source", "target").unionByName(G.graph_face_edges(B.embeddings(t), FACE_T, "forest", scan=scan).select("source", "target"))
     ring = G.connected_components(nodes, edges).select(F.col("id").alias("submission_id"), "ring")
     hit = (F.col("link_score") > 0) | F.col("ring").isNotNull()
     return scored.join(ring, "submission_id").filter(hit).select("submission_id", "merchant_id", "ring", "final_score", "verdict", "abstained", "attack_pattern", "link_score")
 
 
 # --- linkage calibration -------------------------------------------------------------
-IMP = """one AS (SELECT min(submission_id) AS submission_id FROM emb GROUP BY submission_id % 250), v AS (SELECT e.submission_id, vector FROM emb e JOIN one USING (submission_id)),
- imp AS (SELECT list_cosine_similarity(a.vector, b.vector) AS s FROM v a JOIN v b ON a.submission_id < b.submission_id),
- gen AS (SELECT list_cosine_similarity(a.vector, b.vector) AS s FROM emb a JOIN emb b ON a.submission_id < b.submission_id AND a.submission_id % 250 = b.submission_id % 250)"""
+# Every stored vector is an identity, folded to 8 numbers (the sums of its dimensions modulo 8, which spreads
+# the scores of these random vectors over the shipped thresholds); its second capture leans towards its neighbour.
+IMP = """fold AS (SELECT vec_id, list_transform(range(1, 9), lambda i: list_sum(list_transform(range(0, 8), lambda j: embedding[i + 8 * j]::DOUBLE))) AS v FROM embeddings),
+ imp AS (SELECT list_cosine_similarity(a.v, b.v) AS s FROM fold a JOIN fold b ON a.vec_id < b.vec_id),
+ gen AS (SELECT list_cosine_similarity(a.v, list_transform(range(1, 9), lambda i: a.v[i] + 0.8::DOUBLE * b.v[i])) AS s FROM fold a JOIN fold b ON b.vec_id = a.vec_id + 1),
+ need AS (SELECT count(*) AS pairs, 1 - (1 - 0.01::DOUBLE) ** (1 / 50.0::DOUBLE) AS need FROM imp),
+ fit AS (SELECT pairs, need, floor(need * pairs) >= 1 AS resolved, ceil(round((SELECT s FROM (SELECT s, row_number() OVER (ORDER BY s DESC) AS rn FROM imp) WHERE rn = floor(need * pairs)), 12) * 10000) / 10000 AS threshold FROM need)"""
 
 
-def impostor_reps(t):
-    """One vector per identity; an identity is the id modulo 250."""
-    e = B.embeddings(t).withColumn("person", F.col("submission_id") % 250)
-    first = e.groupBy("person").agg(F.min_by("vector", "submission_id").alias("vector"))
-    return cut(first.select(F.col("person").alias("rep"), "vector"))
+def folded(t):
+    x = F.col("embedding")
+    total = lambda i: sum((x[i + 8 * j].cast("double") for j in range(1, 8)), x[i].cast("double"))
+    return cut(t.embeddings.select(F.col("vec_id").alias("rep"), F.array(*[total(i) for i in range(8)]).alias("vector")))
 
 
-EDGES = [K.SUPERSEDED_SAME_PERSON, K.SAME_PERSON]
+def genuine_scores(reps):
+    nxt = reps.select((F.col("rep") - 1).alias("rep"), F.col("vector").alias("w"))
+    second = F.zip_with("vector", "w", lambda a, b: a + 0.8 * b)
+    return reps.join(nxt, "rep").select(X.cosine(F.col("vector"), second).alias("sim"))
 
 
-@query("cal5_impostor_summary", with_ctes(EMB, IMP) + "SELECT count(*) AS pairs, avg(s) AS mean, max(s) AS highest FROM imp")
+@query("cal5_impostor_summary", with_ctes(IMP) + "SELECT count(*) AS pairs, avg(s) AS mean, quantile_cont(s, 0.99) AS p99, quantile_cont(s, 0.9999) AS p99_99, max(s) AS highest FROM imp", digits=9)
 def impostors(t):
-    return C.impostor_summary(V.similarity_histogram(impostor_reps(t), EDGES, 10000))
+    return C.impostor_summary(V.ScoreCounts(folded(t)), t.spark)
+
+
+@query("cal5_genuine_summary", with_ctes(IMP) + "SELECT count(*) AS n, avg(s) AS mean, quantile_cont(s, 0.05) AS p05, quantile_cont(s, 0.5) AS p50 FROM gen")
+def genuine(t):
+    return C.genuine_summary(genuine_scores(folded(t)))
 
 
-@query("cal6_linkage_threshold", with_ctes(EMB, IMP) + """, n AS (SELECT count(*) AS pairs, 1 - (1 - 0.01::DOUBLE) ** (1 / 50.0::DOUBLE) AS need FROM imp), k AS (SELECT s, row_number() OVER (ORDER BY s DESC) AS rn FROM imp)
-SELECT pairs, need AS required_far, floor(need * pairs) >= 1 AS resolved, ceil((SELECT s FROM k WHERE rn = floor(need * pairs)) * 10000) / 10000 AS threshold FROM n""", digits=9)
+@query("cal6_linkage_threshold", with_ctes(IMP) + "SELECT pairs, need AS required_far, resolved, threshold, (SELECT count(*) FROM imp WHERE s >= threshold) AS accepted, (SELECT avg((s >= threshold)::INT) FROM imp) AS far FROM fit", digits=12)
 def linkage_threshold(t):
-    return C.linkage_threshold(V.similarity_histogram(impostor_reps(t), EDGES, 10000), 0.01, 50)
+    return C.linkage_threshold(V.ScoreCounts(folded(t)), t.spark, 0.01, 50)
 
 
-@query("cal6_linkage_grades", with_ctes(EMB, IMP) + """, g AS (SELECT * FROM (VALUES ('superseded', 0.5198::DOUBLE), ('as_shipped', 0.8169::DOUBLE)) g(name, threshold)),
+@query("cal6_linkage_grades", with_ctes(IMP) + f""", g AS (SELECT 'fitted' AS name, threshold FROM fit UNION ALL FROM (VALUES ('superseded', {K.SUPERSEDED_SAME_PERSON}::DOUBLE), ('as_shipped', {K.SAME_PERSON}::DOUBLE)) g(name, threshold)),
  r AS (SELECT name, threshold, (SELECT count(*) FROM imp) AS pairs, (SELECT count(*) FROM imp WHERE s >= threshold) AS accepted, (SELECT avg((s >= threshold)::INT) FROM gen) AS tar FROM g)
-SELECT name, threshold, pairs, accepted, accepted / pairs AS far, tar, """ + ", ".join(f"1 - (1 - accepted / pairs) ** {n} AS per_applicant_{n}" for n in K.APPLICANT_SIZES) + " FROM r")
+SELECT name, threshold, pairs, accepted, accepted / pairs AS far, tar, """ + ", ".join(f"1 - (1 - accepted / pairs) ** {n} AS per_applicant_{n}" for n in K.APPLICANT_SIZES) + " FROM r", digits=10)
 def grades(t):
-    hist = V.similarity_histogram(impostor_reps(t), EDGES, 10000).filter("kind = 'bin'")
-    low = F.element_at(F.array(L(-2.0), *[L(e) for e in EDGES]), (F.col("value") + 1).cast("int"))
-    e = B.embeddings(t).select("submission_id", "vector", (F.col("submission_id") % 250).alias("person"))
-    b = e.select("person", F.col("submission_id").alias("other"), F.col("vector").alias("w"))
-    genuine = e.join(b, "person").filter("submission_id < other").select(X.cosine(F.col("vector"), F.col("w")).alias("sim"))
-    return C.grade(hist.select(low.alias("s"), "n"), genuine, {"superseded": EDGES[0], "as_shipped": EDGES[1]})
+    reps = folded(t)
+    counts = V.ScoreCounts(reps)
+    fitted = C.fitted_threshold(counts, 0.01, 50)[0]
+    return C.grade(counts, genuine_scores(reps), {"fitted": fitted, "superseded": K.SUPERSEDED_SAME_PERSON, "as_shipped": K.SAME_PERSON})

@@ -125,8 +125,8 @@ SCHEMAS: dict[str, str] = {
     "sc23_final_score": "submission_id bigint, final_score double, verdict string, abstained boolean, link_score double, link_exact boolean",
     "sc25_classify_attack": "attack_pattern string, verdict string, n bigint",
     "flagship_ring_decisions": "submission_id bigint, merchant_id string, ring bigint, final_score double, verdict string, abstained boolean, attack_pattern string, link_score double",
-    "cal5_impostor_summary": "pairs bigint, mean double, highest double",
-    "cal6_linkage_threshold": "pairs bigint, required_far double, resolved boolean, threshold double",
+    "cal5_impostor_summary": "pairs bigint, mean double, p99 double, p99_99 double, highest double",
+    "cal6_linkage_threshold": "pairs bigint, required_far double, resolved boolean, threshold double, accepted bigint, far double",
     "cal6_linkage_grades": "name string, threshold double, pairs bigint, accepted bigint, far double, tar double, per_applicant_20 double, per_applicant_100 double, per_applicant_500 double, per_applicant_1000 double, per_applicant_5000 double, per_applicant_50000 double",
     "wn1_flights": "session bigint, pos bigint, down double, flight double",
     "wn2_pointer_segments": "session bigint, t double, pos bigint, dx double, dy double, length double, dt double",
@@ -181,4 +181,7 @@ SCHEMAS: dict[str, str] = {
     "src2_read_sessions": "sessions bigint, keys bigint, bad bigint",
     "src6_load_policy": "merchant_id string, min_risk_for_reject double, min_risk_for_review double, require_liveness boolean",
     "src9_hash_assets": "files bigint, contents bigint",
+    "cal5_genuine_summary": "n bigint, mean double, p05 double, p50 double",
+    "jn9_file_relation": "source bigint, target bigint, file_kind string",
+    "jn4_face_links_approx_recall": "exact_pairs bigint, invented bigint, recall_reached boolean",
 }

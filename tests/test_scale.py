@@ -201,3 +201,106 @@ def test_face_links_with_a_wrong_dimension_and_a_doubled_submission(spark):
     emb = spark.createDataFrame([(i, v, n, "m") for i, v, n in rows], "submission_id bigint, vector array<double>, claimed_name string, merchant_id string")
     got = sorted((r.submission_id, r.rank, r.other_id) for r in N.face_links(emb, 0.9).collect())
     assert got == [(1, 1, 2), (2, 1, 1), (3, 1, 4), (4, 1, 3)]
+
+
+# --- pivot blocks, one pass, score counts -------------------------------------------------
+def clustered(n=900, seed=9):
+    """Twelve tight identities of 24 dimensions, with text ids."""
+    g = np.random.default_rng(seed)
+    centres = g.normal(size=(12, 24))
+    return [(f"s{i:05d}", [float(x) for x in centres[i % 12] + g.normal(scale=0.1, size=24)]) for i in range(n)] + [("short", [1.0, 2.0]), ("short2", [1.0, 2.1])]
+
+
+def unit(rows):
+    x = np.array([np.float32(v) for _, v in rows if len(v) == 24], np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def reps_of(spark, rows):
+    return spark.createDataFrame(rows, "rep string, vector array<float>")
+
+
+def test_pivot_blocks_skip_pairs_without_loss(spark):
+    rows = clustered()
+    reps = reps_of(spark, rows)
+    x = unit(rows)
+    s = np.round(x @ x.T, 12)
+    want = {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(np.triu(s >= 0.9, 1)))} | {("short", "short2")}
+    blocked, pairs = V.pivot_blocks(reps, 0.9, 40)
+    blocks = blocked.select("b").distinct().count()
+    assert blocks >= 24 and pairs.count() < 0.35 * blocks * (blocks + 1) / 2
+    assert {(r.a, r.b) for r in V.similar_pairs(reps, 0.9, 40).collect()} == want
+    assert V.pivot_blocks(reps, -1.0, 40)[1].count() == (blocks - 1) * blocks // 2 + 1  # nothing can be skipped at -1
+
+
+def test_one_pass_gives_links_and_forest(spark):
+    rows = clustered(300)
+    reps = reps_of(spark, rows)
+    found = V.scan_pairs(reps, 0.9, top=3, links=True, every=True, block_rows=30).collect()
+    x = unit(rows)
+    s = np.round(x @ x.T, 12)
+    np.fill_diagonal(s, -2)
+    name = [r[0] for r in rows[:300]]
+    top = defaultdict(list)
+    for r in found:
+        if r.kind == "top":
+            top[r.a].append((-r.similarity, r.b))
+    for i in range(300):
+        want = sorted((-s[i, j], name[j]) for j in range(300) if s[i, j] >= 0.9)[:3]
+        assert [b for _, b in sorted(top[name[i]])[:3]] == [b for _, b in want]
+
+    def roots(kind):
+        up = {}
+
+        def find(v):
+            while up.setdefault(v, v) != v:
+                v = up[v]
+            return v
+
+        for r in found:
+            if r.kind == kind:
+                a, b = find(r.a), find(r.b)
+                up[max(a, b)] = min(a, b)
+        return {v: find(v) for v in up}
+
+    assert roots("link") == roots("pair") and sum(r.kind == "link" for r in found) < sum(r.kind == "pair" for r in found)
+
+
+def test_score_counts_are_exact(spark):
+    rows = clustered(260)[:260]
+    x = unit(rows)
+    s = np.round((x @ x.T)[np.triu_indices(260, 1)], 12)
+    counts = V.ScoreCounts(reps_of(spark, rows), 50)
+    assert counts.pairs == len(s) and counts.mean == pytest.approx(s.mean())
+    for p, v in counts.percentiles([0.0, 0.05, 0.5, 0.99, 0.9999, 1.0]).items():
+        assert v == pytest.approx(np.quantile(s, p), abs=2e-12)
+    for t in (-1.0, 0.5, 0.9637, 0.8169):
+        assert counts.at_least(t) == (s >= t).sum()
+
+
+def test_approximate_links_reach_the_stated_recall(spark):
+    g = np.random.default_rng(4)
+    x = g.normal(size=(1500, 32))
+    y = x[:700] + g.normal(scale=0.55, size=(700, 32))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(np.concatenate([x, y]))]
+    reps = spark.createDataFrame(rows, "rep bigint, vector array<double>")
+    exact = {(r.a, r.b) for r in V.similar_pairs(reps, 0.8).collect()}
+    for recall in (0.7, 0.95):
+        approx = {(r.a, r.b) for r in V.approx_pairs(reps, 0.8, recall, bits=10, block_rows=64).collect()}
+        assert approx <= exact and len(exact) > 400 and len(approx) >= recall * len(exact)
+
+
+def test_pair_kinds_equal_full_pairs(spark):
+    """1, 2 and 3 share a file and 2-3 are alike: exact, though the star lists 1-2 and 1-3 only."""
+    hashes = [(1, "c1", "p1"), (2, "c1", "p1"), (3, "c1", "p1"), (4, "c4", "p4"), (5, "c5", "p4"), (6, "c6", "p4"), (7, "c7", "p7"), (5, "c9", "p9"), (6, "c9", "p9")]
+    h = spark.createDataFrame([(i, "selfie", c, p) for i, c, p in hashes], "submission_id bigint, kind string, content_hash string, phash string")
+    faces = spark.createDataFrame([(2, 3), (1, 7), (6, 4), (5, 6)], "source bigint, target bigint").selectExpr("source", "target", "'face' AS kind", "0.9D AS weight", "true AS name_differs")
+    got = {(r.source, r.target): r.kind for r in G.strongest_edges(G.graph_asset_edges(h), faces, h).collect()}
+    assert got == {(1, 2): "asset_exact", (1, 3): "asset_exact", (2, 3): "asset_exact", (1, 7): "face", (4, 6): "face", (4, 5): "asset_near", (5, 6): "asset_exact"}
+
+
+@pytest.mark.parametrize("bits", [3, 8, 11])
+def test_unequal_radii_cover_every_pair(bits):
+    radii = N._radii(bits, 4)
+    assert sum(r + 1 for r in radii) == bits + 1 or bits < 4
+    assert sum(len(N._ball(r)) for r in N._radii(8, 4)) == 188
