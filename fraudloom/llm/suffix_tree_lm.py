@@ -37,6 +37,8 @@ MIN_COUNT, RATIO, DISCOUNT, GAIN = 3, 2.0, 0.75, 6.0
 HEAVY_BITS = 20
 FILTER_BITS = 26  # 8 MB; a fuller filter only lets more rows through
 FILTER_PARTS = 64
+MOST_TASKS = 4096  # partitions of a shuffle; beyond it a task takes several buckets, one after the other
+BLOCK_TEXTS = 100_000  # texts whose lookups travel together, at most
 DROPPED_BITS = 16  # gram hashes are kept to 48 bits
 END = mix(np.array([1], np.uint64))[0]
 LN10 = float(np.log(10.0))
@@ -105,12 +107,11 @@ def _occurrences(n: int, parts: int, repeated):
             g, full = np.repeat(g, many), np.repeat(c, many)
             first = np.concatenate(([0], np.cumsum(many)[:-1]))
             left = full - 255 * (np.arange(len(g)) - np.repeat(first, many))
-            edge = np.searchsorted((g >> np.uint64(16)).astype(np.int64) * parts >> 32, np.arange(parts + 1), "left")
             raw = np.empty((len(g), 7), np.uint8)
             raw[:, :6] = g.view(np.uint8).reshape(-1, 8)[:, :6]
             raw[:, 6] = np.minimum(left, 255)
-            blobs = [raw[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "items"])
+            some = list(_by_bucket(g << np.uint64(DROPPED_BITS), parts))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in some], pa.int32()), pa.array([raw[a:b].tobytes() for _, a, b in some], pa.binary())], names=["bucket", "items"])
 
         for _, _, _, seq, doc in _with_end(batches):
             g = grams(seq, n)
@@ -240,12 +241,12 @@ def learn(texts: DataFrame, depth: int = 2) -> dict:
     p_word = words.select("gram", "c", ((F.col("c") + 0.1) / (total + 0.1 * (distinct + 1))).alias("p"))
     root = p_word.select(F.col("gram").alias("word"), F.col("p").alias("p_word"))
     # a bucket holds about a million occurrences, 7 MB at most
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, total // 1_000_000 + 1))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1_000_000 + 1)
     added, contexts, repeated, parents, short, backs = [], [], None, p_word.select("gram", "c"), None, None
     form = "gram bigint, ctx bigint, low bigint, mid bigint, word bigint"
     for n in range(2, depth + 2):
         counted = texts.mapInArrow(_occurrences(n, parts, repeated), "bucket int, items binary")
-        counts = cut(counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_tally, "gram bigint, c bigint"))
+        counts = cut(counted.repartition(min(parts, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(_tally, "gram bigint, c bigint"))
         repeated = gram_filter(counts)
         links = texts.mapInArrow(_candidates(n, repeated), form).groupBy("gram").agg(*[F.min(x).alias(x) for x in ("ctx", "low", "mid", "word")])
         links = links.join(counts, "gram").join(parents.select(F.col("gram").alias("ctx"), F.col("c").alias("c_ctx")), "ctx").join(root, "word")
@@ -282,8 +283,9 @@ def _find(keys: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == g
 
 
-ROUTED = ["bucket", "kind", "items", "row", "doc_id", "n_tokens", "n_known", "base", "score"]
+ROUTED = ["bucket", "kind", "block", "items", "row", "doc_id", "n_tokens", "n_known", "base", "score"]
 VALUES, ASKED, TEXT = range(3)  # kinds of routed rows, in the order in which a bucket needs them
+SUMS = ("<u4", "<u4", "<f8", "<f8")  # what a bucket answers a block: text, known words, base, score
 
 
 def _planes(*columns: np.ndarray) -> bytes:
@@ -304,12 +306,12 @@ def _by_bucket(keys: np.ndarray, buckets: int):
     return zip(own[first].tolist(), first.tolist(), [*first[1:].tolist(), len(own)])
 
 
-def _routed(doc_type, kind: int, rows: list[tuple[int, bytes, int]]):
-    """Rows (bucket, items, row0) of a kind."""
+def _routed(doc_type, kind: int, block: int, rows: list[tuple[int, bytes]]):
+    """Rows (bucket, items) of a kind; the block is the number of its first text."""
     n = len(rows)
     ints = pa.nulls(n, pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.nulls(n, doc_type), ints, ints, pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())], names=ROUTED
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.array([r[1] for r in rows], pa.binary()), ints, pa.nulls(n, doc_type), ints, ints, pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())], names=ROUTED
     )
 
 
@@ -323,7 +325,7 @@ def _route_values(buckets: int):
             key, base, value = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(key)
             key, base, value = key[order], base[order], value[order]
-            return _routed(doc_type, VALUES, [(k, _planes(key[i:j], base[i:j], value[i:j]), 0) for k, i, j in _by_bucket(key, buckets)])
+            return _routed(doc_type, VALUES, 0, [(k, _planes(key[i:j], base[i:j], value[i:j])) for k, i, j in _by_bucket(key, buckets)])
 
         for b in batches:
             doc_type = b.column(3).type
@@ -341,32 +343,40 @@ def _route_values(buckets: int):
 def _lookups(depth: int, heavy_words, heavy_grams, filt, buckets: int):
     """(row, doc_id, text) -> one row per text with the sums known here, and by bucket the (gram, text, times) to look up.
 
-    A word to look up has an odd gram, other grams are even.
+    Texts that follow one another are a block, named by its first row; a text is known in it by
+    its distance from that row.  A word to look up has an odd gram, other grams are even.
     """
 
     def run(batches):
         keys, base, add = heavy_words.value
         often, worth = heavy_grams.value
         bits = np.frombuffer(filt.value, np.uint8)
-        held, size, doc_type = [], 0, None
+        held, texts, size, doc_type = [], [], 0, None
 
         def rows():
-            g, row = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(g, kind="stable")
-            g, row = g[order], row[order]
-            row0 = int(row.min())
-            first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (row[1:] != row[:-1]))))
-            times = np.diff(np.append(first, len(g))).astype(np.uint32)
-            g, row = g[first], (row[first] - row0).astype(np.uint32)
-            return _routed(doc_type, ASKED, [(k, _planes(g[i:j], row[i:j], times[i:j]), row0) for k, i, j in _by_bucket(g, buckets)])
+            block = int(min(t[0].min() for t in texts))
+            ids, docs, *sums = (list(x) for x in zip(*texts))
+            ids = np.concatenate(ids)
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((ids % buckets).astype(np.int32)), pa.array(np.full(n, TEXT, np.int32)), pa.array(np.full(n, block)), pa.nulls(n, pa.binary()), pa.array(ids), pa.concat_arrays(docs), *[pa.array(np.concatenate(x)) for x in sums]], names=ROUTED
+            )
+            if size:
+                g, row = (np.concatenate(x) for x in zip(*held))
+                order = np.argsort(g, kind="stable")
+                g, row = g[order], row[order]
+                first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (row[1:] != row[:-1]))))
+                times = np.diff(np.append(first, len(g))).astype(np.uint32)
+                g, row = g[first], (row[first] - block).astype(np.uint32)
+                yield _routed(doc_type, ASKED, block, [(k, _planes(g[i:j], row[i:j], times[i:j])) for k, i, j in _by_bucket(g, buckets)])
 
         for b, lo, hi, seq, doc in _with_end(batches, 1 << 21):
             n = hi - lo
             ids = b.column(0).to_numpy()[lo:hi]
             doc_type = b.column(1).type
-            if held and max(int(ids.max()), int(held[0][1].max())) - min(int(ids.min()), int(held[0][1].min())) >= 1 << 31:
-                yield rows()  # a text is known by its distance from the first, 32 bits
-                held, size = [], 0
+            if texts and max(int(ids.max()), int(texts[0][0].max())) - min(int(ids.min()), int(texts[0][0].min())) >= 1 << 31:
+                yield from rows()  # a distance has 32 bits
+                held, texts, size = [], [], 0
             at, hit = _find(keys, seq)
             sums = [np.bincount(doc[hit], weights=w[at[hit]], minlength=n) for w in (base, add)] if len(keys) else [np.zeros(n), np.zeros(n)]
             asked = [(seq[~hit] | np.uint64(1), doc[~hit])]
@@ -380,24 +390,22 @@ def _lookups(depth: int, heavy_words, heavy_grams, filt, buckets: int):
                 if got.any():
                     sums[1] += np.bincount(doc[start[got]], weights=worth[where[got]], minlength=n)
                 asked.append((g[start[~got]], doc[start[~got]]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((ids % buckets).astype(np.int32)), pa.array(np.full(n, TEXT, np.int32)), pa.nulls(n, pa.binary()), pa.array(ids), b.column(1).slice(lo, n), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[hit], minlength=n)), pa.array(sums[0]), pa.array(sums[1])], names=ROUTED
-            )
+            texts.append((ids, b.column(1).slice(lo, n), np.bincount(doc, minlength=n), np.bincount(doc[hit], minlength=n), *sums))
             g, d = (np.concatenate(x) for x in zip(*asked))
             if len(g):
                 held.append((g, ids[d]))
                 size += len(g)
-            if size > 2_000_000:
-                yield rows()
-                held, size = [], 0
-        if size:
-            yield rows()
+            if size > 2_000_000 or sum(len(t[0]) for t in texts) > BLOCK_TEXTS:
+                yield from rows()
+                held, texts, size = [], [], 0
+        if texts:
+            yield from rows()
 
     return run
 
 
 def _resolve(miss: float):
-    """Rows sorted by (bucket, kind) -> (row, doc_id, n_tokens, n_known, base, score), parts of the sums of a text."""
+    """Rows sorted by (bucket, kind) -> rows by block: a text as it came, or one answer of the bucket for all texts of the block."""
 
     def table(blobs: list[bytes]):
         key, base, value = (np.concatenate(x) for x in zip(*[_unplaned(x, "<u8", "<f8", "<f8") for x in blobs])) if blobs else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
@@ -410,9 +418,9 @@ def _resolve(miss: float):
             kind = b.column(1).to_numpy()
             text = b.filter(pa.array(kind == TEXT))
             if text.num_rows:
-                yield pa.RecordBatch.from_arrays(text.columns[3:], names=ROUTED[3:])
+                yield pa.RecordBatch.from_arrays(text.columns[2:], names=ROUTED[2:])
             for i in np.flatnonzero(kind != TEXT).tolist():
-                bucket, blob = b.column(0)[i].as_py(), b.column(2)[i].as_py()
+                bucket, blob = b.column(0)[i].as_py(), b.column(3)[i].as_py()
                 if bucket != now:
                     now, blobs, known = bucket, [], None
                 if kind[i] == VALUES:
@@ -428,14 +436,50 @@ def _resolve(miss: float):
                 some = hit & word
                 base[some] = known[1][at[some]]
                 u, of = np.unique(row, return_inverse=True)
-                n = len(u)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(u.astype(np.int64) + b.column(3)[i].as_py()), pa.nulls(n, b.column(4).type), pa.nulls(n, pa.int64()), pa.array(np.bincount(of, weights=times * some, minlength=n).astype(np.int64)), *[pa.array(np.bincount(of, weights=times * x, minlength=n)) for x in (base, worth)]], names=ROUTED[3:]
-                )
+                answer = _planes(u.astype(np.uint32), np.bincount(of, weights=times * some).astype(np.uint32), *[np.bincount(of, weights=times * x) for x in (base, worth)])
+                ints, reals = pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64())
+                yield pa.RecordBatch.from_arrays([b.column(2).slice(i, 1), pa.array([answer], pa.binary()), ints, pa.nulls(1, b.column(5).type), ints, ints, reals, reals], names=ROUTED[2:])
 
     return run
 
 
+def _added(batches):
+    """Rows sorted by (block, row), answers first -> (row, doc_id, n_tokens, n_known, base, score)."""
+    now, known, base, score, held = None, None, None, None, []
+
+    def rows():
+        both = pa.Table.from_batches(held).combine_chunks()
+        at = both["row"].to_numpy() - now
+        sums = [pa.array(own + (more[np.minimum(at, len(more) - 1)] if len(more) else 0) * (at < len(more))) for own, more in zip((both[c].to_numpy() for c in ROUTED[7:]), (known, base, score))]
+        return pa.RecordBatch.from_arrays([both["row"].combine_chunks(), both["doc_id"].combine_chunks(), both["n_tokens"].combine_chunks(), *sums], names=["row", "doc_id", "n_tokens", "n_known", "base", "score"])
+
+    for b in batches:
+        blocks, text = b.column(0).to_numpy(), b.column(1).is_null().to_numpy(zero_copy_only=False)
+        edges = [*(np.flatnonzero((blocks[1:] != blocks[:-1]) | (text[1:] != text[:-1])) + 1).tolist(), b.num_rows]
+        at = 0
+        for to in edges:
+            if to == at:
+                continue
+            if blocks[at] != now:
+                if held:
+                    yield rows()
+                now, held = int(blocks[at]), []
+                known, base, score = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+            if text[at]:
+                held.append(b.slice(at, to - at))
+            else:
+                for blob in b.column(1).slice(at, to - at).to_pylist():
+                    row, *parts = _unplaned(blob, *SUMS)
+                    most = int(row.max()) + 1
+                    if most > len(known):
+                        known, base, score = (np.append(x, np.zeros(most - len(x), x.dtype)) for x in (known, base, score))
+                    for total, part in zip((known, base, score), parts):
+                        total[row] += part.astype(total.dtype)  # a text occurs once in an answer
+            at = to
+    if held:
+        yield rows()
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """`docs` (row, doc_id, text) -> row, doc_id, n_tokens, n_known, base, score (log10)."""
     spark, words, table, total = docs.sparkSession, model["words"], model["grams"], model["total"]
@@ -446,16 +490,17 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     # a bucket holds the values of about four million occurrences
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000 + 1)
     sums = "row bigint, doc_id {0}, n_tokens bigint, n_known bigint, base double, score double".format(id_type)
-    form = "bucket int, kind int, items binary, " + sums
+    form = "bucket int, kind int, block bigint, items binary, " + sums
     asked = docs.select("row", "doc_id", "text").mapInArrow(_lookups(model["depth"], _packed(words, least, ["base", "add"]), _packed(table, least, ["add"]), filt, buckets), form)
     rare = words.filter(F.col("c") < least).select(F.col("gram").bitwiseOR(1).alias("key"), "base", F.col("add").alias("value"))
     # words that differ in the last bit of their hash alone would share a key: one of them stands for both
     rare = rare.groupBy("key").agg(F.max("base").alias("base"), F.max("value").alias("value"))
     values = rare.unionByName(table.filter(F.col("c") < least).select(F.col("gram").alias("key"), F.lit(None).cast("double").alias("base"), F.col("add").alias("value")))
     values = values.withColumn("doc_id", F.lit(None).cast(id_type)).mapInArrow(_route_values(buckets), form)
-    routed = values.unionByName(asked).repartition(min(buckets, 4096), "bucket").sortWithinPartitions("bucket", "kind")
-    parts = routed.mapInArrow(_resolve(miss), sums)
-    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    routed = values.unionByName(asked).repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket", "kind")
+    parts = routed.mapInArrow(_resolve(miss), form.split(", ", 2)[2])
+    tasks = min(MOST_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sums = parts.repartition(tasks, "block").sortWithinPartitions("block", "row").mapInArrow(_added, sums)
     return sums.select("row", "doc_id", "n_tokens", "n_known", (F.col("base") / LN10).alias("base"), (F.col("score") / LN10).alias("score"))
 
 
