@@ -1,127 +1,122 @@
-"""spark.ml models: fusion, calibration, ablation, keystroke and spectral heads."""
+"""Models: fusion, calibration, ablation, keystroke and spectral heads; logistic ones are fitted side by side."""
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as K
 from ..functions.scalars import clamp01, dig_json
 from .durable import cut
 from .metrics import auc, average_precision
-from .sampling import leave_one_group_out, stratified_folds
+from .newton import Fit, Linear, fit_many, load, save, score_by
+from .ordered import exact_percentiles
+from .sampling import leave_one_group_out, stratified_folds, subject_split
 
 L = F.lit
 FUSION_FEATURES = [f"{d}_{s}" for d in K.FUSED_DETECTORS for s in ("score", "conf")]
 
 
-def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
-    """Balanced weights N / (2 N_class) as a column; the totals are one row."""
-    t = df.agg(F.count(L(1)).alias("__n"), F.sum(label).alias("__p"))
-    w = F.when(F.col(label) == 1, F.col("__n") / (2.0 * F.col("__p"))).otherwise(F.col("__n") / (2.0 * (F.col("__n") - F.col("__p"))))
-    return df.crossJoin(F.broadcast(t)).withColumn("weight", w).drop("__n", "__p")  # one row
-
-
 def probability(c: str = "probability") -> Column:
     return vector_to_array(F.col(c))[1]
 
 
-def logistic(features: list[str], label: str = "y", reg: float = 0.0, weight: str | None = None, max_iter: int = 30) -> Pipeline:
-    """Standardise, then an L2 logistic regression on the standardised columns."""
-    lr = LogisticRegression(featuresCol="z", labelCol=label, regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6)
-    if weight:
-        lr = lr.setWeightCol(weight)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="v", handleInvalid="error"), StandardScaler(inputCol="v", outputCol="z", withMean=True), lr])
+def platt_fit(scored: DataFrame, score: str = "p", label: str = "y") -> Linear:
+    """One-feature logistic curve on out-of-fold scores; strictly monotone."""
+    return fit_many(scored, [score], [Fit("platt")], label, balanced=False, standardise=False)["platt"]
 
 
-def platt_fit(scored: DataFrame, score: str = "p", label: str = "y") -> PipelineModel:
-    """One-feature logistic curve on out-of-fold scores; strictly monotone."""
-    n = scored.count()
-    lr = LogisticRegression(featuresCol="pv", labelCol=label, regParam=1.0 / max(1, n), standardization=False, maxIter=30, probabilityCol="pp", rawPredictionCol="pr", predictionCol="pq")
-    return Pipeline(stages=[VectorAssembler(inputCols=[score], outputCol="pv"), lr]).fit(scored)
+def platt_predict(model: Linear, scored: DataFrame, out: str = "calibrated") -> DataFrame:
+    return scored.withColumn(out, clamp01(model.probability()))
 
 
-def platt_predict(model: PipelineModel, scored: DataFrame, out: str = "calibrated") -> DataFrame:
-    return model.transform(scored).withColumn(out, clamp01(probability("pp"))).drop("pv", "pp", "pr", "pq")
+def fold_fits(folds: int, fold: str = "fold", muted: tuple[str, ...] = (), tag: str = "") -> list[Fit]:
+    """One fit on all rows and one without each fold."""
+    return [Fit(f"{tag}all", muted=muted), *[Fit(f"{tag}{i}", ((fold, i),), muted=muted) for i in range(folds)]]
 
 
 def out_of_fold(df: DataFrame, features: list[str], folds: int, fold: str = "fold", label: str = "y", balanced: bool = True, calibrate: bool = False) -> DataFrame:
-    """Each row scored by a model that never saw its fold. With `calibrate`, the calibrator is
-    fitted inside the fold's own training rows too."""
-    parts = []
-    for f in range(folds):
-        train, test = df.filter(F.col(fold) != f), df.filter(F.col(fold) == f)
-        model = fit_logistic(train, features, label, balanced)
-        scored = model.transform(test).withColumn("p", probability()).select(*df.columns, "p")
-        if calibrate:
-            inner = cut(stratified_folds(train.drop(fold), 3, label, seed=f))
-            raw = cut(out_of_fold(inner, features, 3, "fold", label, balanced).select("p", label))
-            scored = platt_predict(platt_fit(raw, "p", label), scored, "oof").drop("p").withColumnRenamed("oof", "p")
-        parts.append(scored)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def fit_logistic(train: DataFrame, features: list[str], label: str = "y", balanced: bool = True) -> PipelineModel:
-    # a penalty of C = 1 on summed loss is 1 / (sum of weights) on mean loss; balanced weights sum to N
-    n = train.count()
-    df = class_weights(train, label) if balanced else train
-    return logistic(features, label, 1.0 / max(1, n), "weight" if balanced else None).fit(df)
+    """Each row scored by a model that never saw its fold; all folds are fitted in the same jobs.
+
+    With `calibrate`, every fold's calibrator comes from an inner split of the fold's own
+    training rows: the fits of all (fold, inner fold) pairs are one batch too.
+    """
+    key = lambda *c: F.concat_ws("|", *[F.col(x).cast("string") for x in c])
+    if not calibrate:
+        return score_by(df, fit_many(df, features, fold_fits(folds, fold), label, balanced), key(fold))
+    inner = cut(stratified_folds(df.withColumnRenamed(fold, "__outer"), 3, label).withColumnRenamed("fold", "__inner"))
+    pairs = [Fit(f"{i}|{k}", (("__outer", i), ("__inner", k))) for i in range(folds) for k in range(3)]
+    models = fit_many(inner, features, [*fold_fits(folds, "__outer"), *pairs], label, balanced)
+    # every row under the models of the folds that it trains, each without the row's inner fold
+    long = inner.withColumn("__held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter(F.col("__held") != F.col("__outer"))
+    raw = cut(score_by(long, models, key("__held", "__inner")).select("__held", "p", label))
+    curves = fit_many(raw, ["p"], [Fit(str(i), only=(("__held", i),)) for i in range(folds)], label, balanced=False, standardise=False)
+    first = score_by(inner, models, key("__outer"))
+    return score_by(first, curves, key("__outer"), "__c").withColumn("p", clamp01(F.col("__c"))).withColumnRenamed("__outer", fold).drop("__inner", "__c")
+
+
+def fit_logistic(train: DataFrame, features: list[str], label: str = "y", balanced: bool = True) -> Linear:
+    return fit_many(train, features, [Fit("all")], label, balanced)["all"]
 
 
 class FusionModel:
     """A fitted fusion model with its feature order and calibrator."""
 
-    def __init__(self, model: PipelineModel, calibrator: PipelineModel, features: list[str]):
-        self.model, self.calibrator, self.features = model, calibrator, features
+    def __init__(self, model: Linear, calibrator: Linear):
+        self.model, self.calibrator, self.features = model, calibrator, model.features
 
     def score(self, wide: DataFrame) -> DataFrame:
         """ML3: by-name features, calibrated, clipped to [0, 1]."""
         missing = [n for n in self.features if n not in wide.columns]
         if missing:
-            raise ValueError(f"fusion features unavailable: {missing}")
-        raw = self.model.transform(wide).withColumn("p", probability()).select(*wide.columns, "p")
-        return platt_predict(self.calibrator, raw, "fused").drop("p")
+            raise ValueError(f"columns the model needs are absent: {missing}")
+        return platt_predict(self.calibrator, wide.withColumn("p", self.model.probability()), "fused").drop("p")
 
     def coefficients(self) -> dict[str, float]:
-        return dict(zip(self.features, (float(c) for c in self.model.stages[-1].coefficients)))
+        return dict(zip(self.features, self.model.coefficients))
 
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
-        self.calibrator.write().overwrite().save(f"{path}/calibrator")
+    def save(self, spark: SparkSession, path: str) -> None:
+        save(spark, path, model=self.model, calibrator=self.calibrator)
 
     @classmethod
-    def load(cls, path: str) -> "FusionModel":
-        m = PipelineModel.load(f"{path}/model")
-        return cls(m, PipelineModel.load(f"{path}/calibrator"), m.stages[0].getInputCols())
+    def load(cls, spark: SparkSession, path: str) -> "FusionModel":
+        return cls(**load(spark, path))
 
 
-def train_fusion(train: DataFrame, features: list[str] = FUSION_FEATURES, folds: int = 5, label: str = "y", seed: int = 0) -> FusionModel:
-    """Balanced logistic regression; Platt calibration on out-of-fold predictions."""
-    folded = cut(stratified_folds(train.select("id", label, *features), folds, label, seed))
-    oof = cut(out_of_fold(folded, features, folds, label=label).select("p", label))
-    return FusionModel(fit_logistic(folded, features, label), platt_fit(oof, "p", label), features)
+def score_or_fuse(model: FusionModel | None, wide: DataFrame, heuristic: DataFrame) -> DataFrame:
+    """The model's score, or, without a model, the weighted heuristic (id, fused); `fusion` says which."""
+    if model is not None:
+        return model.score(wide).withColumn("fusion", L("model"))
+    return wide.join(heuristic.select("id", "fused"), "id", "left").withColumn("fusion", L("heuristic"))
 
 
-def mute(df: DataFrame, detector: str) -> DataFrame:
-    return df.withColumns({f"{detector}_score": L(0.0), f"{detector}_conf": L(0.0)})
+def train_fusion(train: DataFrame, features: list[str] = FUSION_FEATURES, folds: int = 5, label: str = "y", seed: int = 0) -> FusionModel:
+    """Balanced logistic regression; Platt calibration on out-of-fold predictions. Final and fold fits share their jobs."""
+    folded = cut(stratified_folds(train.select("id", label, *features), folds, label, seed))
+    models = fit_many(folded, features, fold_fits(folds), label)
+    oof = cut(score_by(folded, models, F.col("fold").cast("string")).select("p", label))
+    return FusionModel(models["all"], platt_fit(oof, "p", label))
 
 
 def ablate(train: DataFrame, test: DataFrame, detectors=K.FUSED_DETECTORS, folds: int = 5, label: str = "y") -> DataFrame:
-    """Held-out AUC with each detector muted, its drop, and its share of the above-chance part."""
-    runs = []
-    for name in [None, *detectors]:
-        tr, te = (train, test) if name is None else (mute(train, name), mute(test, name))
-        m = train_fusion(tr, folds=folds, label=label)
-        runs.append(auc(m.score(te), "fused", label).select(L(name or "").alias("muted"), "auc"))
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
+    """Held-out AUC with each detector muted, its drop, and its share of the above-chance part.
+
+    All (detectors + 1) x (folds + 1) fits are one batch, all calibrators another.
+    """
+    folded = cut(stratified_folds(train.select("id", label, *FUSION_FEATURES), folds, label))
+    names = ["", *detectors]
+    fits = [f for n in names for f in fold_fits(folds, muted=(f"{n}_score", f"{n}_conf") if n else (), tag=f"{n}|")]
+    models = fit_many(folded, FUSION_FEATURES, fits, label)
+    each = F.explode(F.array(*[F.struct(L(i).alias("code"), L(n).alias("muted")) for i, n in enumerate(names)])).alias("e")
+    long = folded.select("fold", label, *FUSION_FEATURES, each).select("*", "e.code", "e.muted")
+    oof = cut(score_by(long, models, F.concat("muted", L("|"), F.col("fold").cast("string"))).select("code", "p", label))
+    curves = fit_many(oof, ["p"], [Fit(n, only=(("code", i),)) for i, n in enumerate(names)], label, balanced=False, standardise=False)
+    held = score_by(test.select(label, *FUSION_FEATURES, each).select("*", "e.muted"), models, F.concat("muted", L("|all")))
+    held = score_by(held, curves, F.col("muted"), "fused").withColumn("fused", clamp01(F.col("fused")))
+    out = auc(held, "fused", label, ["muted"]).select("muted", "auc")
     full = out.filter("muted = ''").select(F.col("auc").alias("full_auc"))
     drop = F.col("full_auc") - F.col("auc")
     return out.filter("muted <> ''").crossJoin(F.broadcast(full)).select(  # one row
@@ -146,16 +141,43 @@ def keystroke_report(scored: DataFrame, threshold: float, label: str = "y") -> D
     return auc(scored, "p", label).crossJoin(F.broadcast(average_precision(scored, "p", label).select("ap"))).crossJoin(F.broadcast(r))  # one row each
 
 
-def unseen_strategies(df: DataFrame, group: str, threshold: float, features=K.CORE_FEATURES, label: str = "y", trees: int = 20) -> DataFrame:
-    """Recall on each automation strategy with that strategy left out of training."""
-    bots = df.filter(F.col(label) == 1)
-    out = None
-    for name, _, test in leave_one_group_out(bots, group):
-        train = df.filter((F.col(label) == 0) | (F.col(group) != name))
-        s = score_keystrokes(keystroke_pipeline(features, trees=trees, label=label).fit(train), test)
-        row = s.agg(F.avg((F.col("p") >= threshold).cast("int")).alias("recall")).select(L(name).alias("held_out"), "recall")
-        out = row if out is None else out.unionByName(row)
-    return out
+def keystroke_protocols(df: DataFrame, features: list[str], budget: float = 0.01, label: str = "y", seed: int = 0) -> DataFrame:
+    """The three protocols over one feature set, logistic form, all fits in one batch.
+
+    df: subject, y, strategy (automation only, null for people), population (int, people only:
+    0 is the home population, 1 the one for transfer), features.  Rows (protocol, held_out,
+    n_people, n_automation, auc, threshold, recall, false_positive_rate):
+    * held_out: subject-disjoint test set of both classes;
+    * leave_one_strategy_out: each strategy against people held out by another draw;
+    * transfer: a fit without population 1, threshold from population 0, rates on population 1.
+    A threshold is the 1 - budget percentile of the people scored by the same fit, at least 0.5.
+    """
+    y = F.col(label)
+    first = subject_split(df, "subject", label, seed=seed).withColumnRenamed("held_out", "__test")
+    both = subject_split(first, "subject", label, seed=seed + 7).withColumnRenamed("held_out", "__people")
+    plan = leave_one_group_out(both.filter(y == 1), "strategy")
+    codes = plan.select("strategy", F.col("code").alias("__strategy"))
+    rows = cut(both.join(codes, "strategy", "left").withColumns({"__held": F.col("__test").cast("int"), "__pop": F.when(y == 0, F.col("population"))}).select(label, "strategy", *features, "__held", "__people", "__strategy", "__pop"))
+    groups = [(r.strategy, r.code) for r in plan.collect()]  # at most 1,000, which leave_one_group_out makes sure of
+    fits = [Fit("held_out", (("__held", 1),)), Fit("transfer", (("__pop", 1),)), *[Fit(f"without {c}", (("__strategy", c),)) for _, c in groups]]
+    models = fit_many(rows, features, fits, label)
+    people = F.col("__people") & (y == 0)
+    as_test, as_people = F.when(F.col("__held") == 1, F.array(L("held_out"))), F.when(people, F.array(*[L(f"without {c}") for _, c in groups]).cast("array<string>"))
+    own = F.when(F.col("__strategy").isNotNull(), F.array(F.concat(L("without "), F.col("__strategy").cast("string"))))
+    move = F.when(y == 0, F.array(L("transfer")))
+    long = rows.withColumn("fit", F.explode(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in (as_test, as_people, own, move)])))
+    scored = cut(score_by(long, models, F.col("fit")).select("fit", label, "__pop", "p"))
+    judge = (y == 0) & ((F.col("fit") != "transfer") | (F.coalesce("__pop", L(0)) == 0))
+    limit = exact_percentiles(scored.filter(judge), ["fit"], "p", {"q": 1.0 - budget}).select("fit", F.greatest("q", L(0.5)).alias("threshold"))
+    shown = scored.filter((F.col("fit") != "transfer") | (F.col("__pop") == 1))
+    hit = (F.col("p") >= F.col("threshold")).cast("int")
+    rates = shown.join(limit, "fit").groupBy("fit", "threshold").agg(
+        F.count(F.when(y == 0, 1)).alias("n_people"), F.count(F.when(y == 1, 1)).alias("n_automation"), F.avg(F.when(y == 1, hit)).alias("recall"), F.avg(F.when(y == 0, hit)).alias("false_positive_rate")
+    )
+    name = plan.select(F.concat(L("without "), F.col("code").cast("string")).alias("fit"), F.col("strategy").alias("held_out"))
+    out = rates.join(auc(shown, "p", label, ["fit"]).select("fit", "auc"), "fit", "left").join(name, "fit", "left")
+    protocol = F.when(F.col("fit").startswith("without "), "leave_one_strategy_out").otherwise(F.col("fit"))
+    return out.select(protocol.alias("protocol"), "held_out", "n_people", "n_automation", "auc", "threshold", "recall", "false_positive_rate")
 
 
 def keystroke_sweep(fit_on: DataFrame, transfer: DataFrame, configs: list[dict], budget: float, features=K.CORE_FEATURES, label: str = "y") -> DataFrame:
@@ -173,7 +195,7 @@ def keystroke_sweep(fit_on: DataFrame, transfer: DataFrame, configs: list[dict],
 
 
 # --- spectral and fingerprint heads -------------------------------------------------
-def train_spectral(df: DataFrame, features: list[str], label: str = "y") -> PipelineModel:
+def train_spectral(df: DataFrame, features: list[str], label: str = "y") -> Linear:
     return fit_logistic(df, features, label, balanced=True)
 
 

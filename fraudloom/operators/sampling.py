@@ -122,12 +122,36 @@ def group_folds(df: DataFrame, k: int, group: str, seed: int = 0) -> DataFrame:
     return df.join(ranked.select(group, fold.alias("fold")), group)
 
 
-def leave_one_group_out(df: DataFrame, group: str) -> list[tuple[str, DataFrame, DataFrame]]:
-    """(group, train, test) for each value of a low-cardinality strategy column; more than 1,000 values are refused."""
-    values = [r[0] for r in df.select(group).distinct().orderBy(group).limit(1001).collect()]
-    if len(values) > 1000:
-        raise ValueError(f"{group} has more than 1,000 values: one model per value is not a protocol for it")
-    return [(v, df.filter(F.col(group) != v), df.filter(F.col(group) == v)) for v in values]
+def leave_one_group_out(df: DataFrame, group: str, most: int = 1000) -> DataFrame:
+    """The plan of the protocol: (group, code, n_train, n_test), one row for each value of a low-cardinality column.
+
+    Fits that leave out `code` are fitted side by side (see `newton`), so no training set is
+    copied.  Rows without a value are always trained on.  More than `most` values are refused.
+    """
+    per = cut(df.groupBy(group).agg(F.count(L(1)).alias("n_test")))
+    if per.count() > most:
+        raise ValueError(f"{group} has more than {most:,} values: one model per value is not a protocol for it")
+    total = per.agg(F.sum("n_test").alias("__all"))
+    code = F.row_number().over(Window.orderBy(group)) - 1  # at most `most` rows
+    return per.filter(F.col(group).isNotNull()).withColumn("code", code).crossJoin(F.broadcast(total)).select(group, "code", (F.col("__all") - F.col("n_test")).alias("n_train"), "n_test")  # one row
+
+
+def score_identity_join(scores: DataFrame, manifest: DataFrame, folds: int = 5) -> DataFrame:
+    """scores (id, split, ...) with identity and capture from the manifest (id, identity, capture), and a fold for training rows.
+
+    Folds are identity-disjoint if every training row has an identity and there are more
+    identities than folds; otherwise they are row-wise, and `fold_kind` says so, since rates
+    measured on them are optimistic.  Ids that the manifest holds twice take its lowest entry.
+    """
+    known = manifest.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("identity", "capture")).alias("m")).select("id", "m.identity", "m.capture")
+    joined = cut(scores.drop("identity", "capture").join(known, "id", "left"))
+    train = joined.filter("split = 'train'")
+    missing, people = train.agg(F.count(F.when(F.col("identity").isNull(), 1)), F.countDistinct("identity")).first()
+    grouped = missing == 0 and people > folds
+    dealt = group_folds(train, folds, "identity") if grouped else stratified_folds(train, folds)
+    kind = L("identity" if grouped else "row")
+    rest = joined.filter("split IS NULL OR split <> 'train'").withColumn("fold", L(None).cast("int"))
+    return dealt.select(*joined.columns, "fold").unionByName(rest).withColumn("fold_kind", kind)
 
 
 # --- sessionising research corpora -------------------------------------------------

@@ -184,4 +184,18 @@ SCHEMAS: dict[str, str] = {
     "cal5_genuine_summary": "n bigint, mean double, p05 double, p50 double",
     "jn9_file_relation": "source bigint, target bigint, file_kind string",
     "jn4_face_links_approx_recall": "exact_pairs bigint, invented bigint, recall_reached boolean",
+    "ml1_train_fusion": "fit string, rows bigint, converged boolean",
+    "ml1_held_out_auc": "n_neg bigint, n_pos bigint, explains boolean",
+    "ml2_platt_calibration": "n bigint, positives bigint, mean_kept boolean, rising boolean",
+    "ml3_score_fusion": "id bigint, y int, scored boolean",
+    "ml3_heuristic_fallback": "id bigint, fusion string, fused double",
+    "ml4_ablation": "detector string, matters boolean",
+    "ml5_protocols": "features string, protocol string, held_out string, n bigint, within_budget boolean",
+    "ml5_penalty_sweep": "config bigint, rows bigint, converged boolean",
+    "sp4_leave_one_group_out": "strategy string, n_train bigint, n_test bigint",
+    "jn14_score_identity_join": "id bigint, split string, identity bigint, capture string, folded boolean, fold_kind string",
+    "jn14_row_fallback": "split string, fold_kind string, n bigint, known bigint",
+    "ml6_spectral_head": "n_neg bigint, n_pos bigint, converged boolean, fits boolean",
+    "ml6_fingerprint_head": "generator string, n bigint, above_chance boolean",
+    "ml7_out_of_fold": "n_neg bigint, n_pos bigint, explains boolean",
 }
