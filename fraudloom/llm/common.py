@@ -10,9 +10,9 @@ BROADCAST_ROWS = 200_000  # a side is broadcast only when it was counted and has
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few MB, so that long texts do not add up in a Python worker."""
+    """Arrow batches of about a MB, so that long texts do not add up in a Python worker or in its JVM buffers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
 
 
 def checked(side: DataFrame, rows: int = BROADCAST_ROWS, known: int | None = None) -> DataFrame:

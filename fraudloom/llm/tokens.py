@@ -70,6 +70,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
         yield lo, hi, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    if n and off[-1] > limit:  # long texts passed: give back what Arrow holds for them
+        pa.default_memory_pool().release_unused()
 
 
 def spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
