@@ -307,6 +307,12 @@ def leak_view(audit: DataFrame) -> DataFrame:
     return fields.crossJoin(F.broadcast(audit.agg((count_when(leak) == 0).alias("corpus_clean"))))  # one row
 
 
+def ranked_detectors(ablation: DataFrame) -> DataFrame:
+    """ablation (detector, auc_drop, ...) ranked by the AUC that muting costs; harmful: muting helped."""
+    order = Window.orderBy(F.desc("auc_drop"), "detector")  # one row a detector
+    return ablation.withColumn("rank", F.row_number().over(order)).withColumn("harmful", F.col("auc_drop") < 0)
+
+
 def family_report(df: DataFrame, family: str = "family", points=(0.4, 0.5, 0.75)) -> DataFrame:
     """Per generator family against the one genuine control (y = 0)."""
     s = F.col("score")
@@ -355,7 +361,12 @@ def region_hits(docs: DataFrame, top_k: int = 3, cover: float = 0.25) -> DataFra
 
 
 def tamper_report(df: DataFrame) -> DataFrame:
-    """AUC and flag rates over three independent slices (capture, doc_type) and overall."""
+    """AUC, flag rates and localisation over three independent slices (capture, doc_type) and overall.
+
+    Rows without a tamper score (not scored) are left out.  hit and iou are null where there is
+    no true region; layout is the layout sub-score.
+    """
+    df = df.filter(F.col("tamper").isNotNull() & F.col("y").isNotNull())
     slices = F.array(
         F.struct(L("all").alias("slice"), L("all").alias("value")),
         F.struct(L("capture").alias("slice"), F.col("capture").alias("value")),
@@ -368,6 +379,8 @@ def tamper_report(df: DataFrame) -> DataFrame:
         F.count(L(1)).alias("n"),
         F.avg(F.when(gen, ((F.col("tamper") > 0.45) & (F.col("n_regions") > 0)).cast("int"))).alias("false_flag_rate"),
         F.avg(F.when(F.col("hit").isNotNull(), F.col("hit").cast("int"))).alias("localised_rate"),
+        F.avg(F.when(F.col("hit").isNotNull(), F.col("iou"))).alias("mean_best_iou"),
+        F.avg(F.when(gen, (F.col("layout") > 0).cast("int"))).alias("layout_flag_rate"),
         *[F.avg(F.when(F.col("y") == 1, (F.col("tamper") >= t).cast("int"))).alias(f"recall_{int(t * 100)}") for t in (0.3, 0.45, 0.6)],
         *[F.avg(F.when(gen, (F.col("tamper") >= t).cast("int"))).alias(f"fpr_{int(t * 100)}") for t in (0.3, 0.45, 0.6)],
     )
@@ -377,6 +390,16 @@ def tamper_report(df: DataFrame) -> DataFrame:
     return flags.join(wide, by)
 
 
+def tamper_by_attack(df: DataFrame) -> DataFrame:
+    """Per attack class, each against the whole genuine pool: n, AUC of both scores, mean tamper score, localisation."""
+    df = df.filter(F.col("tamper").isNotNull() & F.col("y").isNotNull())
+    seen = F.col("hit").isNotNull()
+    extra = [F.avg("tamper").alias("mean_tamper"), F.avg(F.when(seen, F.col("hit").cast("int"))).alias("localised_rate"), F.avg(F.when(seen, F.col("iou"))).alias("mean_best_iou")]
+    one = one_vs_control(df, "attack", "score", "y", extra).withColumnRenamed("auc_vs_control", "detector_auc")
+    two = one_vs_control(df, "attack", "tamper", "y", []).select("attack", F.col("auc_vs_control").alias("tamper_auc"))
+    return one.select("attack", "n", "detector_auc", "mean_tamper", "localised_rate", "mean_best_iou").join(two, "attack")
+
+
 def model_leaderboard(df: DataFrame) -> DataFrame:
     """Per model AUC, class means and time per item; marks the selected neural model."""
     base = df.groupBy("model", "kind").agg(

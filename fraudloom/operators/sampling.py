@@ -163,6 +163,34 @@ def cmu_sessionise(rows: DataFrame, keys_per_row: int, keys: int = 110) -> DataF
     return numbered.withColumn("session", s).filter((s + 1) * per <= F.col("total")).drop("rn", "total")
 
 
+def chunk_starts(moves: DataFrame, keys: int) -> DataFrame:
+    """subject, chunk, have, session, complete from moves (subject, chunk from 0, m): what is open and how many
+    sessions are closed when the chunk begins, and how many the subject closes in all.
+
+    m[i] = (have, closed) after the chunk if i keys are open before it.
+    """
+    then = lambda first, second: F.transform(first, lambda x: F.struct(F.get(second, x["have"].cast("int"))["have"].alias("have"), (x["closed"] + F.get(second, x["have"].cast("int"))["closed"]).alias("closed")))
+    levels = [cut(moves)]
+    while levels[-1].filter("chunk > 0").limit(1).count():
+        half = levels[-1].withColumn("up", F.floor(F.col("chunk") / 2))
+        left = half.filter("chunk % 2 = 0").select("subject", "up", F.col("m").alias("a"))
+        right = half.filter("chunk % 2 = 1").select("subject", "up", F.col("m").alias("b"))
+        both = left.join(right, ["subject", "up"], "left")  # the last chunk of an odd level has no partner
+        levels.append(cut(both.select("subject", F.col("up").alias("chunk"), F.when(F.col("b").isNull(), F.col("a")).otherwise(then(F.col("a"), F.col("b"))).alias("m"))))
+    zero = L(0).cast("bigint")
+    total = levels[-1].select("subject", F.get("m", 0)["closed"].alias("complete"))
+    at = levels[-1].select("subject", "chunk", zero.alias("have"), zero.alias("session"))
+    for level in reversed(levels[:-1]):
+        lead = at.withColumnRenamed("chunk", "up")
+        half = level.withColumn("up", F.floor(F.col("chunk") / 2))
+        first = half.filter("chunk % 2 = 0").join(lead, ["subject", "up"])
+        move = F.get("m", F.col("have").cast("int"))
+        after = first.select("subject", (F.col("chunk") + 1).alias("chunk"), move["have"].alias("have"), (F.col("session") + move["closed"]).alias("session"))
+        odd = half.filter("chunk % 2 = 1").select("subject", "chunk").join(after, ["subject", "chunk"])
+        at = cut(first.select("subject", "chunk", "have", "session").unionByName(odd))
+    return at.join(total, "subject")
+
+
 def aalto_sessionise(sections: DataFrame, keys: int = 110, chunk_rows: int = 4096) -> DataFrame:
     """Whole sections in text order accumulate until a session has `keys` keys; the tail is dropped.
 
@@ -170,9 +198,11 @@ def aalto_sessionise(sections: DataFrame, keys: int = 110, chunk_rows: int = 409
 
     The running total restarts after every session, so a window sum cannot do it.  What a
     run of sections does depends only on how many keys are open when it starts (0 to
-    keys - 1), so each chunk of a long subject is walked once for every possible start,
-    the small (subject, chunk) tables are chained, and each chunk is walked again from its
-    true start.  No task ever holds more than one chunk of sections.
+    keys - 1): a chunk is a function from that number to (keys open, sessions closed) after
+    it.  Functions of neighbouring chunks are composed pairwise, level by level, up to one per
+    subject; then the true starts are handed down the same levels, and each chunk is walked
+    again from its own.  No task holds more than one chunk of sections or two functions, and
+    the levels have half as many rows each time.
     """
     ranked = sections.select("subject", "section", F.col("n_keys").cast("bigint").alias("n_keys"), F.conv(F.hex(F.substring(F.encode(F.rpad("section", 4, "\x00"), "UTF-8"), 1, 4)), 16, 10).cast("double").alias("__p"))
     numbered = row_numbers(ranked, ["subject"], "__p", ["section"], "__rn")
@@ -192,16 +222,7 @@ def aalto_sessionise(sections: DataFrame, keys: int = 110, chunk_rows: int = 409
         return F.aggregate("s", begin, step)
 
     moves = chunks.select("subject", "chunk", F.transform(F.sequence(L(0), L(keys - 1)), advance).alias("m"))
-    path = moves.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("chunk", "m"))).alias("path"))  # one entry per chunk
-    seed = F.struct(L(0).cast("bigint").alias("have"), L(0).cast("bigint").alias("session"), F.array().cast("array<struct<chunk:bigint,have:bigint,session:bigint>>").alias("out"))
-
-    def chain(acc, x):
-        move = F.get(x["m"], acc["have"].cast("int"))
-        entry = F.struct(x["chunk"].alias("chunk"), acc["have"].alias("have"), acc["session"].alias("session"))
-        return F.struct(move["have"].alias("have"), (acc["session"] + move["closed"]).alias("session"), F.array_append(acc["out"], entry).alias("out"))
-
-    starts = path.select("subject", F.aggregate("path", seed, chain).alias("f")).select("subject", F.col("f.session").alias("complete"), F.explode("f.out").alias("e"))
-    starts = starts.select("subject", "complete", "e.chunk", "e.have", "e.session")
+    starts = chunk_starts(moves, keys)
     begin = F.struct(F.col("have").alias("have"), F.col("session").alias("session"), F.array().cast("array<struct<section:string,session:bigint>>").alias("out"))
 
     def label(acc, x):

@@ -40,9 +40,10 @@ def flow_spike(frames: DataFrame) -> DataFrame:
 
 
 def exact_percentiles_by_clip(frames: DataFrame, value: str) -> DataFrame:
-    """median, max, pop std, n per clip; clips are short, one buffer per clip is bounded by frame count."""
-    v = F.col(value)
-    return frames.filter(v.isNotNull()).groupBy("clip").agg(F.median(v).alias("median"), F.max(v).alias("highest"), F.stddev_pop(v).alias("sd"), F.count(v).alias("n"))
+    """median, highest, pop std, n per clip; values are counted and ranked in chunks, no clip is held in one buffer."""
+    known = frames.filter(F.col(value).isNotNull()).select("clip", F.col(value).cast("double").alias(value))
+    q = exact_percentiles(known, ["clip"], value, {"median": 0.5}, stats=True).select("clip", "median", "highest", "n")
+    return q.join(known.groupBy("clip").agg(F.stddev_pop(value).alias("sd")), "clip")
 
 
 def blink_count(frames: DataFrame) -> DataFrame:
@@ -58,5 +59,5 @@ def blink_count(frames: DataFrame) -> DataFrame:
 
 
 def frame_appearance(frames: DataFrame) -> DataFrame:
-    q = F.percentile("p_fake", 0.9)
-    return frames.groupBy("clip").agg(F.count(L(1)).alias("frames"), F.count("p_fake").alias("faces"), F.avg("p_fake").alias("frame_mean"), q.alias("frame_p90"))
+    base = frames.groupBy("clip").agg(F.count(L(1)).alias("frames"), F.count("p_fake").alias("faces"), F.avg("p_fake").alias("frame_mean"))
+    return base.join(exact_percentiles(frames, ["clip"], "p_fake", {"frame_p90": 0.9}), "clip", "left")

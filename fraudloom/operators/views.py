@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as K
 from ..functions.scalars import literal_map, ratio
+from .durable import cut
+from .linkage import ring_siblings
 from .metrics import count_when
 from .ordered import exact_percentiles
 
 L = F.lit
+
+
 def newest() -> list:
     return [F.desc("created_at"), F.desc("submission_id")]
 
@@ -103,10 +107,29 @@ def attack_gallery(subs, verdicts, as_of, hours=24, per_group=8) -> dict[str, Da
     return {"groups": groups.withColumn("label", label), "generators": gens, "samples": samples}
 
 
-def review_queue(subs, verdicts, audit, limit=50) -> DataFrame:
-    """Undecided REVIEW verdicts, riskiest first; decided ones are removed before the limit."""
+def review_queue(subs, verdicts, audit, limit=50, outputs=None, hashes=None) -> DataFrame:
+    """Undecided REVIEW verdicts, riskiest first; decided ones are removed before the limit.
+
+    With `outputs` every row has detector_summary, an array of (detector, score, status) by
+    name; with `hashes` (selfie rows) shared_selfie_with and n_other_names, null where the
+    selfie occurs once.  Both read only what belongs to the queue.
+    """
     reviews = with_verdict(subs, verdicts.filter(F.col("verdict") == "REVIEW"), "inner")
-    return undecided(reviews, audit).orderBy(F.desc("final_score"), F.asc("submission_id")).limit(limit)
+    queue = undecided(reviews, audit).orderBy(F.desc("final_score"), F.asc("submission_id")).limit(limit)
+    if outputs is None and hashes is None:
+        return queue
+    queue = cut(queue)
+    ids = F.broadcast(queue.select("submission_id"))  # at most `limit` rows
+    if outputs is not None:
+        mine = outputs.join(ids, "submission_id", "left_semi")
+        entry = F.struct("detector", F.round(F.coalesce("score", L(0.0)), 3).alias("score"), "status")
+        queue = queue.join(mine.groupBy("submission_id").agg(F.array_sort(F.collect_list(entry)).alias("detector_summary")), "submission_id", "left")  # one entry a detector
+    if hashes is not None:
+        files = hashes.join(ids, "submission_id", "left_semi").select("content_hash").distinct()
+        same = hashes.join(F.broadcast(files), "content_hash", "left_semi")  # at most `limit` files
+        rings = ring_siblings(same, subs.select("submission_id", "claimed_name").join(same.select("submission_id"), "submission_id", "left_semi"))
+        queue = queue.join(rings.join(ids, "submission_id", "left_semi").select("submission_id", "shared_selfie_with", "n_other_names"), "submission_id", "left")
+    return queue.orderBy(F.desc("final_score"), F.asc("submission_id"))
 
 
 def live_stats(verdicts: DataFrame) -> DataFrame:

@@ -273,16 +273,38 @@ def describe(t):
     return t.lineitem.select(box.alias("box")).groupBy(X.describe_region(F.col("box"), L(100), L(100)).alias("where_")).agg(F.count(L(1)).alias("n"))
 
 
-TAMPER = "tam AS (SELECT y, score, tamper, (n_chars % 4)::INT AS n_regions, CASE WHEN y = 1 THEN id % 2 = 0 END AS hit, capture_mode AS capture, lang AS doc_type FROM scored), lng AS (SELECT 'all' AS slice, 'all' AS value, * FROM tam UNION ALL SELECT 'capture', capture, * FROM tam UNION ALL SELECT 'doc_type', doc_type, * FROM tam)"
+TAMPER = "tam AS (SELECT y, score, tamper, (n_chars % 4)::INT AS n_regions, CASE WHEN y = 1 THEN id % 2 = 0 END AS hit, (id % 11) / 11.0::DOUBLE AS iou, (n_chars % 3) / 3.0::DOUBLE AS layout, attack_type AS attack, capture_mode AS capture, lang AS doc_type FROM scored), lng AS (SELECT 'all' AS slice, 'all' AS value, * FROM tam UNION ALL SELECT 'capture', capture, * FROM tam UNION ALL SELECT 'doc_type', doc_type, * FROM tam)"
 
 
-@query("ag26_tamper_report", with_ctes(SCORED, TAMPER) + f"""SELECT l.slice, l.value, count(*) AS n, avg((tamper > 0.45 AND n_regions > 0)::INT) FILTER (WHERE y = 0) AS false_flag_rate, avg(hit::INT) AS localised_rate,
+@query("ag26_tamper_report", with_ctes(SCORED, TAMPER) + f"""SELECT l.slice, l.value, count(*) AS n, avg((tamper > 0.45 AND n_regions > 0)::INT) FILTER (WHERE y = 0) AS false_flag_rate, avg(hit::INT) AS localised_rate, avg(iou) FILTER (WHERE hit IS NOT NULL) AS mean_best_iou, avg((layout > 0)::INT) FILTER (WHERE y = 0) AS layout_flag_rate,
  avg((tamper >= 0.3)::INT) FILTER (WHERE y = 1) AS recall_30, avg((tamper >= 0.45)::INT) FILTER (WHERE y = 1) AS recall_45, avg((tamper >= 0.6)::INT) FILTER (WHERE y = 1) AS recall_60,
  avg((tamper >= 0.3)::INT) FILTER (WHERE y = 0) AS fpr_30, avg((tamper >= 0.45)::INT) FILTER (WHERE y = 0) AS fpr_45, avg((tamper >= 0.6)::INT) FILTER (WHERE y = 0) AS fpr_60, any_value(d.auc) AS detector_auc, any_value(m.auc) AS tamper_auc
 FROM lng l JOIN {auc_sql('lng', 'score', 'y', ['slice', 'value'])} d USING (slice, value) JOIN {auc_sql('lng', 'tamper', 'y', ['slice', 'value'])} m USING (slice, value) GROUP BY ALL""")
 def tamper(t):
-    s = B.scored(t).select("y", "score", "tamper", (F.col("n_chars") % 4).cast("int").alias("n_regions"), F.when(F.col("y") == 1, F.col("id") % 2 == 0).alias("hit"), F.col("capture_mode").alias("capture"), F.col("lang").alias("doc_type"))
-    return M.tamper_report(s)
+    return M.tamper_report(tampered(t))
+
+
+def tampered(t):
+    d = F.col("id")
+    return B.scored(t).select(
+        "y", "score", "tamper", (F.col("n_chars") % 4).cast("int").alias("n_regions"), F.when(F.col("y") == 1, d % 2 == 0).alias("hit"), ((d % 11) / 11.0).alias("iou"), ((F.col("n_chars") % 3) / 3.0).alias("layout"),
+        F.col("attack_type").alias("attack"), F.col("capture_mode").alias("capture"), F.col("lang").alias("doc_type"),
+    )
+
+
+VERSUS = "vs AS (SELECT a.attack AS slice, t.* FROM tam t, (SELECT DISTINCT attack FROM tam WHERE attack IS NOT NULL) a WHERE t.y = 0 OR t.attack = a.attack)"
+
+
+@query("ag26_tamper_by_attack", with_ctes(SCORED, TAMPER, VERSUS) + f"""SELECT v.slice AS attack, count(*) FILTER (y = 1) AS n, any_value(d.auc) AS detector_auc, avg(tamper) FILTER (y = 1) AS mean_tamper, avg(hit::INT) AS localised_rate, avg(iou) FILTER (hit IS NOT NULL) AS mean_best_iou, any_value(m.auc) AS tamper_auc
+FROM vs v JOIN {auc_sql('vs', 'score', 'y', ['slice'])} d USING (slice) JOIN {auc_sql('vs', 'tamper', 'y', ['slice'])} m USING (slice) GROUP BY v.slice""")
+def tamper_attacks(t):
+    return M.tamper_by_attack(tampered(t))
+
+
+@query("ag20_ranked_detectors", with_ctes(OUTPUTS) + "SELECT detector, avg(score) - 0.5 AS auc_drop, row_number() OVER (ORDER BY round(avg(score) - 0.5, 9) DESC, detector) AS rank, avg(score) < 0.5 AS harmful FROM outputs GROUP BY detector")
+def ranked(t):
+    drop = F.round(F.avg("score") - 0.5, 9)
+    return M.ranked_detectors(B.detector_outputs(t).groupBy("detector").agg(drop.alias("auc_drop")))
 
 
 DIST = ", ".join(f"quantile_cont(v, {p}) AS {n}" for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p9999", 0.9999)))

@@ -62,7 +62,7 @@ SCHEMAS: dict[str, str] = {
     "jn13_region_hits": "doc_id bigint, hit boolean, best_iou double",
     "sc28_iou": "i int, mean_iou double",
     "sc31_describe_region": "where_ string, n bigint",
-    "ag26_tamper_report": "slice string, value string, n bigint, false_flag_rate double, localised_rate double, recall_30 double, recall_45 double, recall_60 double, fpr_30 double, fpr_45 double, fpr_60 double, detector_auc double, tamper_auc double",
+    "ag26_tamper_report": "slice string, value string, n bigint, false_flag_rate double, localised_rate double, mean_best_iou double, layout_flag_rate double, recall_30 double, recall_45 double, recall_60 double, fpr_30 double, fpr_45 double, fpr_60 double, detector_auc double, tamper_auc double",
     "ag27_distribution": "l_returnflag string, n bigint, mean double, lowest double, highest double, p05 double, p50 double, p95 double, p99 double, p9999 double",
     "ag28_model_leaderboard": "model string, kind string, mean_real double, mean_fake double, ms_per_item double, auc double, selected boolean, near_chance boolean",
     "ag29_region_z": "attack string, n bigint, mean_inside double, mean_outside double, mean_difference double, share_hotter double, median_peak double",
@@ -198,4 +198,9 @@ SCHEMAS: dict[str, str] = {
     "ml6_spectral_head": "n_neg bigint, n_pos bigint, converged boolean, fits boolean",
     "ml6_fingerprint_head": "generator string, n bigint, above_chance boolean",
     "ml7_out_of_fold": "n_neg bigint, n_pos bigint, explains boolean",
+    "st2_event_sessions": "session string, keystroke_count bigint, dwell_samples bigint, dwell_mean_ms double, dwell_cv double, flight_samples bigint, flight_mean_ms double, flight_cv double, flight_min_ms double, backspace_rate double, typing_speed_cps double, rollover_rate double",
+    "ag26_tamper_by_attack": "attack string, n bigint, detector_auc double, mean_tamper double, localised_rate double, mean_best_iou double, tamper_auc double",
+    "ag20_ranked_detectors": "detector string, auc_drop double, rank int, harmful boolean",
+    "tk1_detector_summary": "submission_id bigint, detector string, score double, status string",
+    "tk1_shared_selfies": "submission_id bigint, shared_selfie_with bigint, n_other_names bigint",
 }

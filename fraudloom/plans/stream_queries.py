@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import telemetry as T
 from ..operators import views
 from ..operators.durable import fresh_path
 from ..sources import writers
@@ -10,6 +11,7 @@ from ..streaming import jobs
 from . import bindings as B
 from .bindings import HASHES, POLICIES, SUBS, VERD, with_ctes
 from .registry import query
+from .signal_queries import BASICS, FLIGHTS, KEYFEATS
 from .view_queries import BOARD
 
 L = F.lit
@@ -53,7 +55,7 @@ def ingest(t):
     e = stream(t, "events").select(F.col("user_id").alias("token"), "event_type", "value", F.struct("ts", "event_id").alias("posted_at"))
     out = fresh_path(t.spark, "sessions")
     finish(jobs.telemetry_ingest(e, out, fresh_path(t.spark, "state")))
-    return t.spark.read.parquet(out).select("token", "event_type", "value")
+    return writers.read_keyed(t.spark, out).select("token", "event_type", "value")
 
 
 SESSION_SQL = """WITH g AS (SELECT user_id, ts, value, event_type, sum((prev IS NULL OR ts - prev > INTERVAL 5 HOUR)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)),
@@ -67,15 +69,41 @@ def session_stream(t):
     return to_table(t, jobs.telemetry_sessions(e)).drop("started", "ended")
 
 
-@query("st3_stream_attach", "SELECT s.event_id AS submission_id, b.event_id AS telemetry_id FROM events s JOIN events b ON s.user_id = b.user_id AND s.event_type = 'purchase' AND b.event_type = 'signup' AND b.ts <= s.ts AND b.ts >= s.ts - INTERVAL 12 HOUR")
+ST2_KEYS = """ev AS (SELECT *, sum((prev IS NULL OR ts - prev > INTERVAL 5 HOUR)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)),
+ runs AS (SELECT user_id, s, user_id || '@' || min(epoch_us(ts)) AS session FROM ev GROUP BY user_id, s HAVING max(ts) + INTERVAL 5 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE),
+ keys AS (SELECT session, event_id AS pos, CASE event_type WHEN 'error' THEN 'Backspace' WHEN 'signup' THEN 'Shift' ELSE 'a' END AS key, epoch_us(ts) / 1e8::DOUBLE AS down, CASE WHEN event_id % 50 <> 0 THEN epoch_us(ts) / 1e8::DOUBLE + value END AS up FROM ev JOIN runs USING (user_id, s))"""
+
+
+def event_stream(t):
+    """Events as single telemetry events: one keystroke each, with the event's own time."""
+    down = B.event_clock() / 1e8
+    name = F.when(F.col("event_type") == "error", "Backspace").when(F.col("event_type") == "signup", "Shift").otherwise("a")
+    none = lambda kind: L(None).cast(kind)
+    return stream(t, "events").select(
+        F.col("user_id").cast("string").alias("token"), F.col("ts").cast("timestamp").alias("ts"), L("key").alias("kind"), F.col("event_id").cast("bigint").alias("pos"), name.alias("key"), none("string").alias("field"),
+        down.alias("a"), F.when(F.col("event_id") % 50 != 0, down + F.col("value")).alias("b"), none("double").alias("c"), none("int").alias("i"),
+    )
+
+
+@query("st2_event_sessions", with_ctes(ST2_KEYS, FLIGHTS, KEYFEATS, BASICS) + "SELECT * FROM basics WHERE flight_samples >= 1", digits=5)
+def event_sessions(t):
+    """Single events, held as state per token until their session closes; then the features of the batch form."""
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    closed = to_table(t, jobs.closed_sessions(event_stream(t), "5 hours"))
+    return T.session_basics(T.keystroke_features(T.key_events(closed), 5000.0)).filter("flight_samples >= 1")
+
+
+ATTACHED = """b AS (SELECT s.event_id AS submission_id, s.ts, b.event_id AS telemetry_id FROM events s LEFT JOIN events b ON s.user_id = b.user_id AND b.event_type = 'signup' AND b.ts <= s.ts AND b.ts >= s.ts - INTERVAL 12 HOUR WHERE s.event_type = 'purchase')"""
+
+
+@query("st3_stream_attach", with_ctes(ATTACHED) + "SELECT submission_id, telemetry_id FROM b WHERE telemetry_id IS NOT NULL OR ts < (SELECT least(max(ts) FILTER (event_type = 'purchase'), max(ts) FILTER (event_type = 'signup')) - INTERVAL 10 MINUTE FROM events)")
 def attach(t):
-    """Matched rows; the unmatched ones wait for the watermark (see the streaming tests)."""
+    """Matched rows, and unmatched ones with null once both watermarks have passed them."""
     ts = F.col("ts").cast("timestamp")
     e = lambda kind, *cols: stream(t, "events").filter(F.col("event_type") == kind).select(F.col("user_id").alias("token"), *cols)
     subs = e("purchase", ts.alias("submitted_at"), F.col("event_id").alias("submission_id"))
     tele = e("signup", ts.alias("posted_at"), F.col("event_id").alias("telemetry_id"))
-    joined = jobs.stream_attach(subs, tele, before="12 hours").select("submission_id", "telemetry_id")
-    return to_table(t, joined).filter("telemetry_id IS NOT NULL")
+    return to_table(t, jobs.stream_attach(subs, tele, before="12 hours").select("submission_id", "telemetry_id"))
 
 
 @query("st4_running_scoreboard", with_ctes(SUBS, VERD) + BOARD.replace("SELECT merchant_id, ", "SELECT ").replace(" GROUP BY merchant_id", ""))
@@ -105,12 +133,15 @@ def alert_stream(t):
     return t.spark.read.parquet(out).drop("batch")
 
 
-@query("st7_stream_asset_links", with_ctes(HASHES) + "SELECT n.submission_id, n.kind, count(DISTINCT o.submission_id) AS n_earlier, min(o.submission_id) AS first_submission FROM hashes n JOIN hashes o ON o.kind = n.kind AND o.content_hash = n.content_hash WHERE n.submission_id % 2 = 1 AND o.submission_id % 2 = 0 GROUP BY ALL")
+@query("st7_stream_asset_links", with_ctes(HASHES) + """, f AS (SELECT n.submission_id, n.kind, count(*) AS n_earlier, min(o.submission_id) FILTER (o.submission_id % 2 = 0) AS even, min(o.submission_id) AS low FROM hashes n JOIN hashes o ON o.kind = n.kind AND o.content_hash = n.content_hash AND o.submission_id <> n.submission_id
+ WHERE n.submission_id % 2 = 1 AND (o.submission_id % 2 = 0 OR o.submission_id < n.submission_id) GROUP BY ALL) SELECT submission_id, kind, n_earlier, coalesce(even, low) AS first_submission FROM f""")
 def asset_stream(t):
+    """Even ids are history; odd ones arrive, each a second after the one before, and meet one another too."""
     past, out = fresh_path(t.spark, "history"), fresh_path(t.spark, "links")
-    B.asset_hashes(t).filter("submission_id % 2 = 0").select("submission_id", "kind", "content_hash").write.parquet(past)
+    at = F.timestamp_seconds(F.col("submission_id")).alias("created_at")
+    jobs.seed_history(B.asset_hashes(t).filter("submission_id % 2 = 0").select("submission_id", "kind", "content_hash", at), past)
     docs = stream(t, "documents").filter("doc_id % 2 = 1").select(F.col("doc_id").alias("submission_id"), F.col("lang").alias("kind"), F.sha2("text", 256).alias("content_hash"))
-    finish(jobs.stream_asset_links(docs, past, lambda df, _: df.write.mode("append").parquet(out), fresh_path(t.spark, "state")))
+    finish(jobs.stream_asset_links(docs.select("*", at), past, lambda df, _: df.write.mode("append").parquet(out), fresh_path(t.spark, "state")))
     return t.spark.read.parquet(out)
 
 

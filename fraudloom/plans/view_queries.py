@@ -7,7 +7,7 @@ from ..functions import scoring as S
 from ..operators import sampling, scoring, views
 from ..sources.policy import FIELDS, policy_struct
 from . import bindings as B
-from .bindings import AUDIT, OUTPUTS, POLICIES, SUBS, VERD, with_ctes
+from .bindings import AUDIT, HASHES, OUTPUTS, POLICIES, SUBS, VERD, with_ctes
 from .registry import query
 
 L = F.lit
@@ -227,6 +227,26 @@ def queue(t):
     return views.review_queue(B.submissions(t), B.verdicts(t), B.audit(t)).select("submission_id", "merchant_id", "claimed_name", "final_score", "abstained", "attack_pattern")
 
 
+QUEUE = """queue AS (SELECT submission_id FROM subs JOIN verd USING (submission_id) WHERE verdict = 'REVIEW' AND submission_id NOT IN (SELECT submission_id FROM audit WHERE event = 'analyst_decision') ORDER BY final_score DESC, submission_id LIMIT 50)"""
+
+
+def full_queue(t):
+    hashes = B.asset_hashes(t).withColumn("kind", L("selfie"))
+    return views.review_queue(B.submissions(t), B.verdicts(t), B.audit(t), outputs=B.detector_outputs(t), hashes=hashes)
+
+
+@query("tk1_detector_summary", with_ctes(SUBS, VERD, AUDIT, OUTPUTS, QUEUE) + "SELECT submission_id, detector, round(score, 3) AS score, status FROM outputs WHERE submission_id IN (FROM queue)")
+def queue_detectors(t):
+    return full_queue(t).select("submission_id", F.explode("detector_summary").alias("e")).select("submission_id", "e.*")
+
+
+@query("tk1_shared_selfies", with_ctes(SUBS, VERD, AUDIT, HASHES, QUEUE) + """, s AS (SELECT h.submission_id, h.content_hash, subs.claimed_name AS name FROM hashes h LEFT JOIN subs USING (submission_id))
+SELECT q.submission_id, nullif((SELECT count(*) FROM s o WHERE o.content_hash = s.content_hash AND o.submission_id <> s.submission_id), 0) AS shared_selfie_with,
+ CASE WHEN EXISTS (FROM s o WHERE o.content_hash = s.content_hash AND o.submission_id <> s.submission_id) THEN (SELECT count(DISTINCT o.name) FROM s o WHERE o.content_hash = s.content_hash AND o.submission_id <> s.submission_id) END AS n_other_names FROM queue q LEFT JOIN s ON s.submission_id = q.submission_id""")
+def queue_selfies(t):
+    return full_queue(t).select("submission_id", "shared_selfie_with", "n_other_names")
+
+
 @query("snk5_alert_rows", with_ctes(SUBS, VERD, POLICIES) + "SELECT submission_id, merchant_id, final_score FROM subs JOIN verd USING (submission_id) JOIN policies USING (merchant_id) WHERE verdict = 'REJECT' AND final_score >= webhook_min_score")
 def alert_rows(t):
     return views.alert_rows(results(t), B.policies(t)).select("submission_id", "merchant_id", "final_score")

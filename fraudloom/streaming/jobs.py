@@ -1,14 +1,20 @@
 """Structured Streaming jobs over telemetry, submissions and verdicts."""
 from __future__ import annotations
 
+import json
 import logging
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
+from ..operators.durable import cut
+from ..operators.ordered import row_numbers
 from ..operators.views import alert_rows, scoreboard
-from ..sources.writers import latest_per_key, replace_by_key
+from ..sources.readers import TELEMETRY_SCHEMA
+from ..sources.writers import holds_files, is_keyed, latest_per_key, read_buckets, replace_by_key
 
 log = logging.getLogger(__name__)
 L = F.lit
@@ -88,24 +94,175 @@ def alerts(verdicts: DataFrame, policies: DataFrame, deliver, checkpoint: str) -
     return verdicts.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
 
 
-def stream_asset_links(new_hashes: DataFrame, history_path: str, sink, checkpoint: str) -> DataStreamWriter:
-    """ST7: exact reuse of an earlier file, against the hash table as it is at each batch.
+def seed_history(hashes: DataFrame, path: str) -> None:
+    """The two tables that ST7 keeps, from hashes known beforehand (submission_id, kind, content_hash, created_at)."""
+    _remember(_arrivals(hashes), path, -1)
+
+
+def _arrivals(batch: DataFrame) -> DataFrame:
+    """One row per (submission, file), at its earliest time; files without bytes link nothing."""
+    at = F.unix_micros(F.col("created_at").cast("timestamp")) if "created_at" in batch.columns else L(0).cast("bigint")
+    return batch.filter(F.coalesce("content_hash", L("")) != "").groupBy("submission_id", "kind", "content_hash").agg(F.min(at).alias("at"))
+
+
+FILE = ["content_hash", "kind"]
+FILES = "content_hash string, kind string, n bigint, first {0}, second {0}, batch bigint, n_before bigint, first_before {0}, second_before {0}"
+
+
+def _before(spark, path: str, new: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """(files as they were before this batch, submissions seen before it), only the buckets of `new` are read."""
+    idt = new.schema["submission_id"].dataType.simpleString()
+    files, seen = read_buckets(spark, f"{path}/_files", new.select(*FILE)), read_buckets(spark, f"{path}/_seen", new.select("submission_id"))
+    if files is None:
+        return spark.createDataFrame([], FILES.format(idt)).select(*FILE, "n", "first", "second"), spark.createDataFrame([], f"submission_id {idt}, kind string, content_hash string")
+    again = F.col("batch") == batch_id  # a replayed batch finds the state that it found first
+    was = lambda c: F.when(again, F.col(f"{c}_before")).otherwise(F.col(c)).alias(c)
+    return files.select(*FILE, was("n"), was("first"), was("second")), seen.filter(F.col("batch") != batch_id).select("submission_id", "kind", "content_hash")
+
+
+def _remember(new: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Takes a batch into the history; returns its rows with n_earlier and first_submission."""
+    spark = new.sparkSession
+    new = cut(new)
+    files, seen = (cut(x) for x in _before(spark, path, new, batch_id))
+    key = ["submission_id", "kind", "content_hash"]
+    fresh = new.join(seen, key, "left_anti")
+    placed = cut(row_numbers(fresh, FILE, "at", ["submission_id"], "place"))  # in order of time within the batch, chunked for a file that is everywhere
+    heads = placed.filter("place <= 2").groupBy(*FILE).agg(F.max(F.when(F.col("place") == 1, F.col("submission_id"))).alias("one"), F.max(F.when(F.col("place") == 2, F.col("submission_id"))).alias("two"))
+    count = placed.groupBy(*FILE).agg(F.count(L(1)).alias("more"))
+    state = files.join(heads.join(count, FILE), FILE, "full").withColumn("n", F.coalesce("n", L(0)))
+    known = F.col("n") > 0
+    first = F.when(known, F.col("first")).otherwise(F.col("one"))
+    second = F.when(F.col("n") > 1, F.col("second")).when(known, F.col("one")).otherwise(F.col("two"))
+    total = F.col("n") + F.coalesce("more", L(0))
+    after = cut(state.select(*FILE, total.alias("n"), first.alias("first"), second.alias("second"), L(batch_id).cast("bigint").alias("batch"), F.col("n").alias("n_before"), F.when(known, F.col("first")).alias("first_before"), F.when(F.col("n") > 1, F.col("second")).alias("second_before")))
+    # a fresh row meets the history and the earlier rows of its batch; a row sent again meets all others known before
+    links = new.join(placed.select(*key, "place"), key, "left").join(after.select(*FILE, "n_before", "first", "second"), FILE)
+    earlier = F.when(F.col("place").isNotNull(), F.col("n_before") + F.col("place") - 1).otherwise(F.col("n_before") - 1)
+    other = F.when(F.col("first") == F.col("submission_id"), F.col("second")).otherwise(F.col("first"))
+    out = cut(links.select("submission_id", "kind", earlier.alias("n_earlier"), other.alias("first_submission")).filter("n_earlier > 0"))
+    replace_by_key(after, f"{path}/_files", FILE, ["n"])
+    replace_by_key(fresh.select(*key, L(batch_id).cast("bigint").alias("batch")), f"{path}/_seen", key, ["batch"])
+    return out
+
 
-    A submission does not link to itself, so a batch that is replayed after the history took
-    it in gives the same rows.
+def stream_asset_links(new_hashes: DataFrame, history_path: str, sink, checkpoint: str) -> DataStreamWriter:
+    """ST7: exact reuse of an earlier file.  The history is kept by the job itself.
+
+    new_hashes: submission_id, kind, content_hash, created_at (without it all times are equal).  A
+    plain table of hashes at `history_path` is taken in first.  Earlier means taken in by an
+    earlier batch, or by the same batch with an earlier time (ties to the lower id).  The
+    history has one row per file (how many submissions, the first two) and one per
+    (submission, file), both in hash buckets, so a batch reads and rewrites its own buckets
+    only.  A file row carries its state before its last batch, so a replayed batch gives
+    the same rows.  A submission does not link to itself, however often it is sent.
     """
 
     def link(batch: DataFrame, batch_id: int) -> None:
-        spark, file = batch.sparkSession, ["kind", "content_hash"]
-        new = batch.filter(F.coalesce("content_hash", L("")) != "").select("submission_id", *file).distinct()
-        past = spark.read.parquet(history_path).select("submission_id", *file).join(new.select(*file).distinct(), file, "left_semi").distinct()
-        # one row per file: how often it was seen, by whom first and by whom next
-        seen = past.groupBy(*file).agg(F.count(L(1)).alias("n"), F.min("submission_id").alias("first"))
-        later = past.join(seen, file).filter(F.col("submission_id") > F.col("first")).groupBy(*file).agg(F.min("submission_id").alias("second"))
-        own = past.select(*file, "submission_id", L(1).alias("own"))
-        j = new.join(seen, file).join(later, file, "left").join(own, [*file, "submission_id"], "left")
-        first = F.when(F.col("submission_id") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-        out = j.select("submission_id", "kind", (F.col("n") - F.coalesce("own", L(0))).alias("n_earlier"), first.alias("first_submission"))
-        sink(out.filter("n_earlier > 0"), batch_id)
+        if not is_keyed(batch.sparkSession, f"{history_path}/_files") and holds_files(batch.sparkSession, history_path):
+            seed_history(batch.sparkSession.read.parquet(history_path), history_path)
+        sink(_remember(_arrivals(batch), history_path, batch_id), batch_id)
 
     return new_hashes.writeStream.foreachBatch(link).option("checkpointLocation", checkpoint)
+
+
+# --- ST2 for single events ------------------------------------------------------------------
+EVENT = "token string, ts timestamp, kind string, pos bigint, key string, field string, a double, b double, c double, i int"
+_TAIL = "kind string, pos bigint, key string, field string, a double, b double, c double, i int"
+CLOSED = TELEMETRY_SCHEMA.replace("session string, ", "session string, token string, started timestamp, ended timestamp, ", 1)
+
+
+CLOSED_NAMES = ["session", "token", "started", "ended", "form_loaded_at", "submitted_at", "declared_country", "keys", "mouse", "focus", "paste", "env"]
+
+
+class SessionBuffer(StatefulProcessor):
+    """Holds the events of a token in appended pieces until the watermark is `gap` behind them.
+
+    A timer stands at the end of the earliest session plus the gap.  When it fires, events are
+    split where they lie further apart than the gap; sessions that ended are emitted whole, in
+    the order of their positions, and the rest stays.  Nothing that is emitted can still grow,
+    since rows behind the watermark are dropped before they come here.
+    """
+
+    def __init__(self, gap_ms: int):
+        self.gap = gap_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "at bigint, " + _TAIL)
+
+    def handleInputRows(self, key, rows, timerValues):
+        at = []
+        for pdf in rows:
+            part = pdf.drop(columns=["token"])
+            part["ts"] = part["ts"].astype("datetime64[us]").astype("int64")
+            at.append(part["ts"])
+            whole = part.astype({"i": "Int64"}).astype(object)  # a null must not turn the other numbers into doubles
+            self.events.appendList([tuple(None if v is pd.NA or v != v else v for v in r) for r in whole.itertuples(index=False)])
+        if at:  # a timer behind every place where a session can end
+            t = np.sort(np.concatenate([x.to_numpy() for x in at]))
+            for end in t[np.append(np.diff(t) > self.gap * 1000, True)].tolist():
+                self.handle.registerTimer(-(-end // 1000) + self.gap)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        gone = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((tuple(r) for r in self.events.get()), key=lambda r: (r[0], r[2]))
+        runs, gap = [], self.gap * 1000
+        for r in rows:
+            if runs and r[0] - runs[-1][-1][0] <= gap:
+                runs[-1].append(r)
+            else:
+                runs.append([r])
+        done = [x for x in runs if x[-1][0] + gap <= gone]
+        left = [r for x in runs if x[-1][0] + gap > gone for r in x]
+        if done:
+            if left:
+                self.events.put(left)
+            else:
+                self.events.clear()
+        for run in done:
+            yield pd.DataFrame([self.row(key[0], run)], columns=CLOSED_NAMES)
+
+    @staticmethod
+    def row(token: str, run: list) -> dict:
+        by = {}
+        for at, kind, pos, key, field, a, b, c, i in sorted(run, key=lambda r: (r[2], r[0])):
+            by.setdefault(kind, []).append((key, field, a, b, c, i))
+        one = lambda kind, at: by[kind][-1][at] if kind in by else None
+        start, end = run[0][0], run[-1][0]
+        return {
+            "session": f"{token}@{start}", "token": token, "started": pd.Timestamp(start, unit="us"), "ended": pd.Timestamp(end, unit="us"),
+            "form_loaded_at": one("load", 2), "submitted_at": one("submit", 2), "declared_country": one("country", 0),
+            "keys": [{"key": k, "down": a, "up": b, "field": f} for k, f, a, b, _, _ in by.get("key", [])],
+            "mouse": [{"t": a, "x": b, "y": c} for _, _, a, b, c, _ in by.get("mouse", [])],
+            "focus": [{"field": f, "index": i, "in": a, "out": b} for _, f, a, b, _, i in by.get("focus", [])],
+            "paste": [{"field": f, "t": a, "length": i} for _, f, a, _, _, i in by.get("paste", [])],
+            "env": json.loads(one("env", 0)) if "env" in by else None,
+        }
+
+
+def closed_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """ST2 for single events: (session, token, started, ended, keys, mouse, focus, paste, env, ...), one row per closed session.
+
+    `events` as EVENT: kind 'key' (a down, b up), 'mouse' (a t, b x, c y), 'focus' (a in, b out, i
+    index), 'paste' (a t, i length), 'load' and 'submit' (a), 'country' and 'env' (key; env as
+    JSON).  A session closes when the watermark is `gap` behind its last event.  The state store must be
+    RocksDB (spark.sql.streaming.stateStore.providerClass).
+    """
+    names = [f.split(" ")[0] for f in EVENT.split(", ")]
+    wait = int(pd.Timedelta(gap).total_seconds() * 1000)
+    src = events.select(*names).withWatermark("ts", late)
+    return src.groupBy("token").transformWithStateInPandas(SessionBuffer(wait), CLOSED, "Append", "EventTime")
+
+
+def event_features(events: DataFrame, path: str, checkpoint: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataStreamWriter:
+    """ST2: FE1-FE5 of every session when it closes, by the same expressions as in batch; raw events are not kept."""
+    from ..operators.telemetry import behavioral_rules, session_features
+
+    def fold(batch: DataFrame, _: int) -> None:
+        closed = cut(batch)
+        rows = behavioral_rules(session_features(closed.drop("token", "started", "ended")))
+        replace_by_key(rows.join(closed.select("session", "token", "started", "ended"), "session"), path, ["session"], ["ended"])
+
+    return closed_sessions(events, gap, late).writeStream.outputMode("append").foreachBatch(fold).option("checkpointLocation", checkpoint)
