@@ -7,10 +7,15 @@ every table, the buckets whose axes are next nearest.  Candidates are ranked by
 cosine in double precision.
 
 Equal vectors are one class with its five smallest ids and one more, enough for an exact
-top five; copies never fill a bucket.  A bucket with more than SPLIT classes is dealt over
-several tasks and its queries are sent to each, so no bucket is one task and none is cut.
+top five; copies never fill a bucket.  A bucket with more than SPLIT classes or queries is dealt
+over several tasks, classes by queries, so no bucket is one task and none is cut.
 Inside a task a bucket is one matrix product per block; only the best of each query leave it.
 
+How many tables and probes are needed grows with the rows.  `tune` finds the true neighbours of
+a sample of queries in all rows, looks up at which probe of which table each of them lies, and
+takes the cheapest numbers with which the sample reaches the recall asked for; if none does,
+buckets are made wider.  So the recall holds at any size and its price is paid in candidates.
+
 Vectors that are null, empty, zero or hold a null or non-finite number take no part; vectors
 of different lengths are searched each among their own.
 """
@@ -23,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import checked, cut
 
-TABLES, PROBES = 12, 16
+TABLES, PROBES = (4, 8, 12, 16, 24, 32), (4, 8, 16, 32, 64, 128, 256, 512)  # what `tune` chooses from
 PER_BUCKET = 400  # wanted classes in a bucket of one table
+RECALL = 0.97  # on the sample, so that all queries reach 0.9
+SAMPLED = 200
 SPLIT = 4096
 SEED = 20240229
 
@@ -155,6 +162,63 @@ def _search(keep: int):
     return run
 
 
+def _neighbours(queries: dict[str, np.ndarray], keep: int):
+    """(cid, vector) -> (qid, cid, score, vector): the best `keep` of the task for every sampled query, itself left out."""
+    ids, q = list(queries), np.stack(list(queries.values()))
+    unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+
+    def run(batches):
+        best: list[list] = [[] for _ in ids]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = _matrix(b.column(1))
+            s = unit @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
+            names = b.column(0).to_pylist()
+            k = min(keep + 1, s.shape[1])
+            for i, row in enumerate(s):
+                some = [(float(row[j]), names[j], c[j].tobytes()) for j in np.argpartition(-row, k - 1)[:k].tolist() if names[j] != ids[i]]
+                best[i] = sorted(best[i] + some, reverse=True)[:keep]
+        rows = [(ids[i], cid, score, vector) for i, found in enumerate(best) for score, cid, vector in found]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["qid", "cid", "score", "vector"])
+
+    return run
+
+
+def tune(classes: DataFrame, n: int, dims: int, k: int, recall: float = RECALL, sampled: int = SAMPLED) -> tuple[list[int], int, int, float]:
+    """(axes, tables, probes, recall on the sample) for `classes` (cid, query, vector) of one dimension, `n` of them."""
+    drawn = classes.filter("query").orderBy(F.xxhash64("cid", F.lit(SEED))).select("cid", "vector").limit(sampled).collect()
+    if not drawn or n < 2:
+        return plan(n, dims), TABLES[0], PROBES[0], 1.0
+    queries = {r.cid: np.frombuffer(r.vector, "<f8") for r in drawn}
+    near = classes.select("cid", "vector").mapInArrow(_neighbours(queries, k), "qid string, cid string, score double, vector binary")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
+    true = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).collect()  # sampled x k rows
+    q = np.stack([queries[r.qid] for r in true])
+    c = np.stack([np.frombuffer(r.vector, "<f8") for r in true])
+    q, c = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (q, c))
+    wanted = PER_BUCKET
+    while True:
+        axes = plan(n, dims, wanted)
+        at = np.full((len(true), max(TABLES)), max(PROBES))
+        for t in range(max(TABLES)):
+            hit = bucket_probes(q, t, axes, max(PROBES)) == bucket_probes(c, t, axes, 1)
+            at[:, t] = np.where(hit.any(axis=1), hit.argmax(axis=1), max(PROBES))
+        buckets = int(np.prod([2 * a for a in axes]))
+        options = []
+        for t in TABLES:
+            first = at[:, :t].min(axis=1)
+            for p in PROBES:
+                got = float((first < p).mean())
+                if got >= recall:
+                    options.append((t * min(p, buckets), t, p, got))
+        if options:
+            _, tables, probes, got = min(options)
+            return axes, tables, probes, got
+        wanted *= 4  # with one bucket every probe finds everything
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v (array of doubles) of the rows that take part."""
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -167,7 +231,7 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.asarray(x, "<f8").tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["vec_id", "vector"])
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose vec_id is divisible by `every`.
 
     Ties go to the smaller vec_id; a row does not find itself; a null vec_id asks nothing and
@@ -185,17 +249,19 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLE
     ids = cut(members.distinct().withColumn("n", F.row_number().over(low)).filter(F.col("n") <= k + 1).select("cid", "vec_id"))
     found = None
     for length, n in [(r[0], r[1]) for r in classes.groupBy(F.octet_length("vector")).count().collect()]:  # lengths of vectors: a handful
-        axes = plan(n, length // 8)
         part = classes.filter(F.octet_length("vector") == length).select("cid", "query", "vector")
+        axes, tables, probes, _ = tune(part, n, length // 8, k, recall)
         hashed = part.mapInArrow(_hash(length // 8, axes, tables, probes), "table int, bucket bigint, cid string, query boolean, vector binary")
-        hashed = cut(hashed)
-        asked = hashed.filter("query").select("table", "bucket").distinct()
-        size = hashed.filter("NOT query").groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts"))
-        size = cut(size.join(asked, ["table", "bucket"]))
+        hashed = cut(hashed.filter("bucket >= 0"))
+        pieces = lambda c: F.greatest(F.lit(1), F.ceil(F.count(F.when(c, 1)) / SPLIT)).cast("int")
+        asked = F.count(F.when(F.col("query"), 1)) > 0
+        size = hashed.groupBy("table", "bucket").agg(pieces(~F.col("query")).alias("parts"), pieces(F.col("query")).alias("qparts"), asked.alias("asked"))
+        size = cut(size.filter("asked").drop("asked"))
         placed = hashed.join(checked(size), ["table", "bucket"])
-        own = placed.filter("NOT query").withColumn("part", F.pmod(F.xxhash64("cid"), "parts").cast("int"))
-        sent = placed.filter("query").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        work = own.unionByName(sent).select(F.xxhash64("table", "bucket", "part").alias("key"), "cid", "query", "vector")
+        turn = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = placed.filter("NOT query").withColumn("part", F.pmod(F.xxhash64("cid"), "parts").cast("int")).withColumn("qpart", turn("qparts"))
+        sent = placed.filter("query").withColumn("part", turn("parts")).withColumn("qpart", F.pmod(F.xxhash64("cid"), "qparts").cast("int"))
+        work = own.unionByName(sent).select(F.xxhash64("table", "bucket", "part", "qpart").alias("key"), "cid", "query", "vector")
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         got = work.repartition(tasks, "key").sortWithinPartitions("key", F.col("query").desc()).mapInArrow(_search(k + 3), "qid string, cid string, score double")
         got = got.groupBy("qid", "cid").agg(F.max("score").alias("score"))
