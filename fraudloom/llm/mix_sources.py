@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import checked, cut, text_key
 
-BINS = 4096
+BINS_A_DOUBLING = 128  # bins of the keys have a constant ratio, so none holds over 0.2 % of a source's rows, whatever their quality
 SEED = 20240229
 
 
@@ -52,6 +52,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     return w.select("source", "source_size", "weight", F.least(F.col("most"), F.col("weight") * F.coalesce("open", F.lit(float("inf")))).alias("target"))
 
 
+def _bin(key: str) -> Column:
+    """Bin of a key; bins keep the order of the keys."""
+    return F.floor(F.log2(key) * BINS_A_DOUBLING).cast("int")
+
+
 def _up_to_cut(own_bin: str | Column, key: str, tie: str, cut_bin: str) -> Column:
     """Whether a document lies in the taken prefix of its source."""
     own, key, tie = F.col(own_bin) if isinstance(own_bin, str) else own_bin, F.col(key), F.col(tie)
@@ -64,13 +69,13 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", text_key()), 1 << 52) + 0.5) / float(1 << 52)
     key = -F.log(u) / (text_quality() if quality is None else F.greatest(quality, F.lit(1e-6)))
     keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], word_count().alias("__size"), key.alias("__key"), F.xxhash64("doc_id", text_key(), F.lit(seed + 1)).alias("__tie"))
-    slim = cut(keyed.select("source", F.col("__size").alias("size"), F.col("__key").alias("key"), F.col("__tie").alias("tie"), F.floor((1 - F.exp(-F.col("__key"))) * BINS).cast("int").alias("bin")))
+    slim = cut(keyed.select("source", F.col("__size").alias("size"), F.col("__key").alias("key"), F.col("__tie").alias("tie"), _bin("__key").alias("bin")))
     bins = cut(slim.groupBy("source", "bin").agg(F.sum("size").alias("words")))
     goal = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.col("source_size") + 1e-12)).cast("bigint")).otherwise(F.lit(0))
     goal = goal.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
     goal = cut(goal)
-    run = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))  # at most BINS rows a source
+    run = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))  # keys lie between 2^-53 and 2^26: some 10,000 rows a source
     same = bins["source"].eqNullSafe(goal["source"])
     edge = bins.withColumn("upto", run).join(goal.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
     edge = edge.filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")) & (F.col("rest") > 0))
@@ -97,7 +102,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, qua
     keyed, plan = plan_mix(docs, weights, cap, quality, seed)
     plan = plan.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "epochs", F.col("bin").alias("__cut_bin"), "cut_key", "cut_tie", "fill_key", "fill_tie")
     joined = keyed.join(checked(plan), F.col("source").eqNullSafe(F.col("__s")), "left")
-    own_bin = F.floor((1 - F.exp(-F.col("__key"))) * BINS).cast("int")
+    own_bin = _bin("__key")
     filler = (F.col("__key") == F.col("fill_key")) & (F.col("__tie") == F.col("fill_tie"))
     extra = _up_to_cut(own_bin, "__key", "__tie", "__cut_bin") | F.coalesce(filler, F.lit(False))
     return joined.withColumn("__times", F.col("epochs") + extra.cast("bigint")).drop("__s", "epochs", "__cut_bin", "cut_key", "cut_tie", "fill_key", "fill_tie", "__key", "__tie")
