@@ -1,6 +1,9 @@
 """What the operators of this folder share: size-checked joins and row keys."""
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,26 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
 
 
+def give_back() -> None:
+    """Freed memory of this Python worker goes back to the system, where the C library offers that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(run):
+    """The batch function `run`; after its last batch the worker, which stays for later tasks, keeps its imports only."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def checked(side: DataFrame, rows: int = BROADCAST_ROWS, known: int | None = None) -> DataFrame:
     """`side` with a broadcast hint if it is small (counted unless `known`); else as it is, for a shuffle join."""
     n = side.limit(rows + 1).count() if known is None else known

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import component_roots
-from .common import checked, cut, text_key
+from .common import checked, cut, text_key, trimmed
 from .tokens import mix, shingle_sets, slices
 
 CELL_BITS = 23  # 8 MB sketch, whatever the input; more bits only prune better
@@ -283,10 +283,10 @@ def _links(docs: DataFrame, slim: DataFrame, reps: DataFrame, pairs: DataFrame,
     one_text = slim.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("tkey").alias("tkey"))
     texts = cut(one_text.join(wanted, "digest").select("tkey"))
     rows = docs.select(text_key().alias("tkey"), "text").join(checked(texts), "tkey", "left_semi")
-    sets = rows.select("text").mapInArrow(_sets(k), "digest binary, items binary").join(wanted, "digest")
+    sets = rows.select("text").mapInArrow(trimmed(_sets(k)), "digest binary, items binary").join(wanted, "digest")
     sets = cut(sets.groupBy("num").agg(F.first("items").alias("items")))
     both = pairs.join(sets.select(F.col("num").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("num").alias("b"), F.col("items").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a bigint, b bigint"))
+    return cut(both.select("a", "b", "x", "y").mapInArrow(trimmed(_verify(num, den)), "a bigint, b bigint"))
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -305,22 +305,22 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     spark = docs.sparkSession
     src = docs.select("doc_id", text_key().alias("tkey"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    first = cut(src.mapInArrow(_profile(k), f"doc_id {id_type}, tkey bigint, n bigint, digest binary, segment int, cells binary"))
+    first = cut(src.mapInArrow(trimmed(_profile(k)), f"doc_id {id_type}, tkey bigint, n bigint, digest binary, segment int, cells binary"))
     slim = first.filter("n IS NOT NULL").select("doc_id", "tkey", "n", "digest")
-    sums = first.filter("segment IS NOT NULL").select("segment", "cells").repartition(SEGMENTS, "segment").mapInArrow(_sum_cells, "segment int, cells binary").collect()  # 8 MB at any size
+    sums = first.filter("segment IS NOT NULL").select("segment", "cells").repartition(SEGMENTS, "segment").mapInArrow(trimmed(_sum_cells), "segment int, cells binary").collect()  # 8 MB at any size
     width = (1 << CELL_BITS) // SEGMENTS
     levels = np.zeros(1 << CELL_BITS, np.uint8)
     for seg, blob in sums:
         levels[seg * width : (seg + 1) * width] = np.frombuffer(zlib.decompress(bytes(blob)), np.uint8)
     sketch = spark.sparkContext.broadcast(levels.tobytes())
 
-    found = docs.select("text").mapInArrow(_prefixes(k, num, den, sketch), "digest binary, n bigint, gid binary, prefix binary, bits binary")
+    found = docs.select("text").mapInArrow(trimmed(_prefixes(k, num, den, sketch)), "digest binary, n bigint, gid binary, prefix binary, bits binary")
     reps = found.groupBy("digest").agg(F.first(F.struct("n", "gid", "prefix", "bits")).alias("r")).select("digest", "r.*")
     reps = cut(reps.withColumn("num", F.monotonically_increasing_id()))  # stored, so a class keeps its number
     sketch.unpersist()
     groups = reps.groupBy("gid").agg(F.min(F.struct("num", "prefix")).alias("r"), F.count(F.lit(1)).alias("size")).select("gid", F.col("r.num").alias("gnum"), F.col("r.prefix").alias("prefix"), "size")
     several = cut(groups.filter("size > 1").select("gid", "gnum", "size"))
-    postings = groups.select("gnum", "prefix").mapInArrow(_explode_prefix, "token bigint, gnum bigint")
+    postings = groups.select("gnum", "prefix").mapInArrow(trimmed(_explode_prefix), "token bigint, gnum bigint")
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token")
     # members of one group meet in a list of their own
     lists = cut(postings.join(shared, "token").unionByName(several.select(F.xxhash64("gid").alias("token"), "gnum")))
@@ -337,7 +337,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
         # a block meets itself in the list (b, b) only; in (b, c) only pairs across count
         df = df.select(F.xxhash64("token", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "token", "num", "n", "bits", "comp", "blk", (F.col("blk") != F.col("other")).alias("two"))
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return df.repartition(parts, "key").sortWithinPartitions("key", "n").mapInArrow(_list_pairs(num, den, comps is None), "token bigint, a bigint, b bigint")
+        return df.repartition(parts, "key").sortWithinPartitions("key", "n").mapInArrow(trimmed(_list_pairs(num, den, comps is None)), "token bigint, a bigint, b bigint")
 
     pairs1 = cut(pairs(lists, None))
     links1 = _links(docs, slim, reps, pairs1, k, num, den)
