@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import cut, fresh_path, join_counted
 from .tokens import slices
 
 MARK = "▁"
@@ -122,8 +122,15 @@ def refresh(docs: DataFrame, name: str, cache: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, name: str = "piece_bpe_32k.model", cache: str | None = None, limit: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit: one row per input row. `cache` defaults to a new folder."""
-    cache = cache or fresh_path(docs.sparkSession, "token-cache")
+    """doc_id, n_bytes, n_tokens, over_limit: one row per input row.
+
+    `cache` is the folder of stored counts; without one, the folder that the session names in
+    `fraudloom.token.cache`, else a new one.
+    """
+    spark = docs.sparkSession
+    cache = cache or spark.conf.get("fraudloom.token.cache", None) or fresh_path(spark, "token-cache")
     counts = refresh(docs, name, cache)
     slim = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), _digest().alias("digest"))
-    return slim.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # a text held by many rows is not one task of the join
+    known = cut(slim.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).join(counts, "digest"))
+    return join_counted(slim, known, "digest", "copies").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
