@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import component_roots
-from .common import checked, cut, text_key, trimmed
+from .common import checked, cut, give_back, text_key, trimmed
 from .tokens import mix, shingle_sets, slices
 
 CELL_BITS = 23  # 8 MB sketch, whatever the input; more bits only prune better
@@ -313,6 +313,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     for seg, blob in sums:
         levels[seg * width : (seg + 1) * width] = np.frombuffer(zlib.decompress(bytes(blob)), np.uint8)
     sketch = spark.sparkContext.broadcast(levels.tobytes())
+    del sums, levels
+    give_back()
 
     found = docs.select("text").mapInArrow(trimmed(_prefixes(k, num, den, sketch)), "digest binary, n bigint, gid binary, prefix binary, bits binary")
     reps = found.groupBy("digest").agg(F.first(F.struct("n", "gid", "prefix", "bits")).alias("r")).select("digest", "r.*")
