@@ -12,10 +12,10 @@ from ..operators.durable import cut, fresh_path  # noqa: F401  (used by the oper
 BROADCAST_ROWS = 200_000  # a side is broadcast only when it was counted and has at most this many slim rows
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of about a MB, so that long texts do not add up in a Python worker or in its JVM buffers."""
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Arrow batches of bounded size, so that long texts do not add up in a Python worker or in its JVM buffers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def give_back() -> None:
