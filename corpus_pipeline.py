@@ -13,13 +13,13 @@ from fraudloom.llm.common import bounded_batches, checked, cut, text_key
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    bounded_batches(spark)
+    bounded_batches(spark, "1m")
     return quality_kn.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingle sets with a Jaccard similarity of 0.8 stays."""
-    bounded_batches(spark)
+    bounded_batches(spark, "1m")
     return jaccard_join.one_per_component(docs, 5, (8, 10))
 
 
