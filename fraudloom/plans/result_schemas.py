@@ -203,4 +203,6 @@ SCHEMAS: dict[str, str] = {
     "ag20_ranked_detectors": "detector string, auc_drop double, rank int, harmful boolean",
     "tk1_detector_summary": "submission_id bigint, detector string, score double, status string",
     "tk1_shared_selfies": "submission_id bigint, shared_selfie_with bigint, n_other_names bigint",
+    "src4_read_cmu_wide": "subject string, session_index int, rep int, n_dwells int, dwell_sum double, flight double, n_keys int",
+    "src7_read_tables": "name string, n bigint, values bigint",
 }

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from ..operators import telemetry as T
 from ..operators import views
 from ..operators.durable import fresh_path
-from ..sources import writers
+from ..sources import readers, writers
 from ..streaming import jobs
 from . import bindings as B
-from .bindings import HASHES, POLICIES, SUBS, VERD, with_ctes
+from .bindings import AUDIT, HASHES, POLICIES, SUBS, VERD, with_ctes
 from .registry import query
 from .signal_queries import BASICS, FLIGHTS, KEYFEATS
 from .view_queries import BOARD
@@ -227,3 +227,38 @@ def hash_assets(t):
     out = fresh_path(t.spark, "files")
     t.pages.select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy("page_id").text(out)
     return hashed(t.spark, out, "*.txt").agg(F.count(L(1)).alias("files"), F.countDistinct("content_hash").alias("contents"))
+
+
+@query("src4_read_cmu_wide", """SELECT user_id::VARCHAR AS subject, 1 AS session_index, (100000 + event_id)::INT AS rep, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 2 END AS n_dwells, round(value + CASE WHEN event_id % 5 = 0 THEN 0 ELSE 200 END, 6) AS dwell_sum, (event_id % 7) * 100.0::DOUBLE AS flight, 2 AS n_keys FROM events""", digits=3)
+def cmu_wide(t):
+    """Events as wide typing rows in seconds, written as CSV with a header and read back in milliseconds."""
+    out, k = fresh_path(t.spark, "cmu"), F.col("event_id")
+    wide = t.events.select(
+        F.col("user_id").alias("subject"), L(1).alias("sessionIndex"), k.alias("rep"), (F.col("value") / 1000.0).alias("H.a"), L(0.5).alias("DD.a.b"), ((k % 7) / 10.0).alias("UD.a.b"), F.when(k % 5 != 0, 0.2).alias("H.b")
+    )
+    wide.write.option("header", "true").csv(out)
+    rows = readers.read_cmu_wide(t.spark, out)
+    total = F.aggregate("dwells", L(0.0), lambda s, x: s + x)
+    return rows.select("subject", "session_index", "rep", F.size("dwells").alias("n_dwells"), F.round(total, 6).alias("dwell_sum"), F.get("flights", 0).alias("flight"), "n_keys")
+
+
+@query("src7_read_tables", with_ctes(SUBS, VERD, AUDIT, HASHES) + """SELECT 'submissions' AS name, count(*) AS n, count(DISTINCT merchant_id) AS values FROM subs UNION ALL SELECT 'verdicts', count(*), count(DISTINCT verdict) FROM verd UNION ALL SELECT 'audit_events', count(*), count(DISTINCT event) FROM audit
+ UNION ALL SELECT 'asset_hashes', count(*), count(DISTINCT content_hash) FROM hashes UNION ALL SELECT 'face_embeddings', count(*), count(DISTINCT len(embedding)) FROM embeddings UNION ALL SELECT 'behavioral_sessions', count(*), count(DISTINCT token) FROM (SELECT user_id AS token FROM events GROUP BY 1)""")
+def base_tables(t):
+    """The base tables written by role and read with their fixed schemas; columns that were not written are null."""
+    out, text = fresh_path(t.spark, "tables"), lambda c: F.col(c).cast("string").alias(c)
+    roles = {
+        "submissions": B.submissions(t).select(text("submission_id"), "merchant_id", "source", "created_at"), "verdicts": B.verdicts(t).select(text("submission_id"), "final_score", "verdict", "decided_at"),
+        "audit_events": B.audit(t).select("id", text("submission_id"), "event", "payload"), "asset_hashes": B.asset_hashes(t).select(text("submission_id"), "kind", "phash", "content_hash"),
+        "face_embeddings": B.embeddings(t).select(text("submission_id"), F.col("vector").cast("array<float>").alias("vector")),
+        "behavioral_sessions": t.events.groupBy(text("user_id").alias("token")).agg(F.count(L(1)).alias("event_count")),
+    }
+    for name, rows in roles.items():
+        rows.write.parquet(f"{out}/{name}")
+    tables = readers.read_tables(t.spark, out)
+    seen = {"submissions": "merchant_id", "verdicts": "verdict", "audit_events": "event", "asset_hashes": "content_hash", "face_embeddings": F.size("vector"), "behavioral_sessions": "token"}
+    parts = [tables[k].agg(F.count(L(1)).alias("n"), F.countDistinct(c).alias("values")).select(L(k).alias("name"), "n", "values") for k, c in seen.items()]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
