@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, con, name):
     assert out.startswith("ok") and "INEXACT" not in out, out
 
 
-@pytest.mark.parametrize("name", ["jn4_face_links_approx", "sc26_explanations", "ml5_keystroke_model", "ml6_spectral_head", "ml6_fingerprint_head"])
+@pytest.mark.parametrize("name", ["jn4_face_links_approx", "sc26_explanations", "ml5_keystroke_model", "ml5_sweep"])
 def test_query_without_sql_runs(spark, name):
     assert name not in catalogue.ORACLES
     assert catalogue.QUERIES[name](spark, FOLDER).count() > 0
