@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as K
 from ..functions.scalars import per_applicant_rate
-from .metrics import count_when, threshold_counts
+from .metrics import threshold_counts
 from .ordered import cumulative_counts, exact_percentiles, neighbours, quantile_chunks
 from .similarity import UNIT, ScoreCounts
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import telemetry as T
-from ..operators import views
 from ..operators.durable import fresh_path
 from ..sources import readers, writers
 from ..streaming import jobs

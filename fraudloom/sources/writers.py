@@ -62,6 +62,9 @@ class _Folder:
         there = [self.at(n) for n in names if self.fs.exists(self.at(n))]
         return sum(self.fs.getContentSummary(p).getLength() for p in there)
 
+    def size(self) -> int:
+        return self.fs.getContentSummary(self.at()).getLength()
+
     def drop(self, name: str) -> None:
         self.fs.delete(self.at(name), True)
 
@@ -137,6 +140,11 @@ def replace_by_key(df: DataFrame, path: str, keys: list[str], order: list[str],
     if layout is None and holds_files(spark, path):
         raise ValueError(f"{path} holds files but no layout: not a keyed table")
     n = layout["n"] if layout else first_buckets
+    if layout is None:  # the first load is written once to learn its size
+        first = fresh_path(spark, "first")
+        latest_per_key(df, keys, order).write.parquet(first)
+        n = max(n, -(-_Folder(spark, first).size() // bucket_bytes))
+        df = spark.read.schema(df.schema).parquet(first)
     new = df.withColumn("part", bucket_of(keys[0], n))
     touched = sorted(r.part for r in new.select("part").distinct().collect())  # at most n
     if not touched:

@@ -159,3 +159,10 @@ def test_sessions_that_restart_equal_a_walk(spark, chunk_rows):
             held, open_[p], session[p] = [], 0, session[p] + 1
     got = S.aalto_sessionise(spark.createDataFrame(rows, "subject string, section string, n_keys int"), 110, chunk_rows)
     assert sorted((x.subject, x.section, x.session) for x in got.collect()) == sorted(want)
+
+
+def test_a_large_first_load_opens_enough_buckets(spark, tmp_path):
+    path, r = str(tmp_path / "t"), random.Random(8)
+    rows = [(f"k{i}", i, f"{r.getrandbits(1600):x}") for i in range(2000)]
+    writers.replace_by_key(spark.createDataFrame(rows, "k string, v int, pad string"), path, ["k"], ["v"], bucket_bytes=30_000, first_buckets=2)
+    assert layout(path)["n"] > 10 and writers.read_keyed(spark, path).count() == 2000
