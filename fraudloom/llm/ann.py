@@ -11,10 +11,10 @@ top five; copies never fill a bucket.  A bucket with more than SPLIT classes or
 over several tasks, classes by queries, so no bucket is one task and none is cut.
 Inside a task a bucket is one matrix product per block; only the best of each query leave it.
 
-How many tables and probes are needed grows with the rows.  `tune` finds the true neighbours of
-a sample of queries in all rows, looks up at which probe of which table each of them lies, and
-takes the cheapest numbers with which the sample reaches the recall asked for; if none does,
-buckets are made wider.  So the recall holds at any size and its price is paid in candidates.
+How many probes are needed grows with the rows.  `tune` finds the true neighbours of a sample of
+queries in all rows, looks up at which probe of which table each of them lies, and takes the
+fewest probes with which the sample reaches the recall asked for; if none does, buckets are
+made wider.  So the recall holds at any size and its price is paid in candidates.
 
 Vectors that are null, empty, zero or hold a null or non-finite number take no part; vectors
 of different lengths are searched each among their own.
@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import checked, cut
 
-TABLES, PROBES = (4, 8, 12, 16, 24, 32), (4, 8, 16, 32, 64, 128, 256, 512)  # what `tune` chooses from
+TABLES = 12  # whatever the rows, so that what is stored grows in proportion to them
+PROBES = (16, 32, 64, 128, 256, 512, 1024)  # what `tune` chooses from
 PER_BUCKET = 400  # wanted classes in a bucket of one table
 RECALL = 0.97  # on the sample, so that all queries reach 0.9
-SAMPLED = 200
+SAMPLED = 100
 SPLIT = 4096
 SEED = 20240229
 
@@ -190,7 +191,7 @@ def tune(classes: DataFrame, n: int, dims: int, k: int, recall: float = RECALL,
     """(axes, tables, probes, recall on the sample) for `classes` (cid, query, vector) of one dimension, `n` of them."""
     drawn = classes.filter("query").orderBy(F.xxhash64("cid", F.lit(SEED))).select("cid", "vector").limit(sampled).collect()
     if not drawn or n < 2:
-        return plan(n, dims), TABLES[0], PROBES[0], 1.0
+        return plan(n, dims), TABLES, PROBES[0], 1.0
     queries = {r.cid: np.frombuffer(r.vector, "<f8") for r in drawn}
     near = classes.select("cid", "vector").mapInArrow(_neighbours(queries, k), "qid string, cid string, score double, vector binary")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
@@ -201,21 +202,14 @@ def tune(classes: DataFrame, n: int, dims: int, k: int, recall: float = RECALL,
     wanted = PER_BUCKET
     while True:
         axes = plan(n, dims, wanted)
-        at = np.full((len(true), max(TABLES)), max(PROBES))
-        for t in range(max(TABLES)):
+        first = np.full(len(true), max(PROBES))
+        for t in range(TABLES):
             hit = bucket_probes(q, t, axes, max(PROBES)) == bucket_probes(c, t, axes, 1)
-            at[:, t] = np.where(hit.any(axis=1), hit.argmax(axis=1), max(PROBES))
-        buckets = int(np.prod([2 * a for a in axes]))
-        options = []
-        for t in TABLES:
-            first = at[:, :t].min(axis=1)
-            for p in PROBES:
-                got = float((first < p).mean())
-                if got >= recall:
-                    options.append((t * min(p, buckets), t, p, got))
-        if options:
-            _, tables, probes, got = min(options)
-            return axes, tables, probes, got
+            first = np.minimum(first, np.where(hit.any(axis=1), hit.argmax(axis=1), max(PROBES)))
+        for p in PROBES:
+            got = float((first < p).mean())
+            if got >= recall:
+                return axes, TABLES, p, got
         wanted *= 4  # with one bucket every probe finds everything
 
 
